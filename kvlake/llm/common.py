@@ -56,3 +56,14 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Bytes of an Arrow batch sent to a Python worker, where the session doesn't say otherwise.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes as well as rows, so that a batch of very long texts fits a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**63 - 1))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

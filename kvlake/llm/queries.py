@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, sentencepiece_codec, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op10_token_output": token_output.op10_token_output,
     }
 
 

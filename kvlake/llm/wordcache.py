@@ -1,0 +1,92 @@
+"""Byte-pair encoders of the tokenizers library with a bounded cache of units that can't influence one another.
+
+Both vocabularies cut a text before they merge anything. For plain texts (PLAIN) a unit that ends before white space is
+always encoded alike, wherever it stands:
+  "byte":  white space belongs to what follows it, so a unit is a run of white space and the run of other characters
+           behind it;
+  "word":  white space only separates, so a unit is a run of other characters.
+Ids of a unit come from the library and are kept as little-endian unsigned 32-bit integers; a text is the concatenation
+of its units. A text with any other character goes to the library as a whole.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+
+import numpy as np
+
+#: Characters for which Python and the library agree on white space, letters, digits and lower case: tab, LF, CR,
+#: printable ASCII, and Latin up to U+024F without no-break space, soft hyphen and the dotted capital I.
+NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-įı-ɏ]")
+UNITS = {"byte": re.compile(r"\s*\S+|\s+"), "word": re.compile(r"\S+")}
+
+#: Units kept, in two generations of this size each, and the longest unit kept: about 200 MB at most.
+CACHE_UNITS = 250_000
+LONGEST_UNIT = 48
+
+
+class WordCache:
+    """Encodes texts exactly as the tokenizer in path does without special tokens; their strings are ordinary text."""
+
+    def __init__(self, path: str, kind: str, *, cache_units: int = CACHE_UNITS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.split = UNITS[kind].findall
+        self.limit = cache_units
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, text: str) -> bytes:
+        """The ids of text as little-endian unsigned 32-bit integers."""
+        if NOT_PLAIN.search(text):
+            return self._library([text])[0]
+        units = self.split(text)
+        try:
+            return b"".join(map(self.young.__getitem__, units))
+        except KeyError:
+            pass
+        young, old, ids = self.young, self.old, {}
+        absent = []
+        for unit in set(units):
+            if (found := young.get(unit) or old.get(unit)) is None:
+                absent.append(unit)
+            else:
+                ids[unit] = found
+        ids.update(zip(absent, self._library(absent), strict=True))
+        for unit, found in ids.items():
+            if len(unit) <= LONGEST_UNIT:
+                young[unit] = found
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
+        return b"".join(map(ids.__getitem__, units))
+
+
+_encoders: dict[tuple[str, str], WordCache] = {}
+
+
+def encoder(path: str, kind: str) -> WordCache:
+    """One encoder for each worker process."""
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = WordCache(path, kind)
+    return _encoders[path, kind]
+
+
+def byte_vocabulary() -> str:
+    """The byte-level vocabulary for the registered queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def word_vocabulary() -> str:
+    """The word-end vocabulary for the registered queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
