@@ -192,7 +192,7 @@ def _encode(batches: Iterator[pa.RecordBatch], *, model: str, text_col: str, end
 
 def encode(df: DataFrame, *, model: str, text_col: str = "text", end: bool = False) -> DataFrame:
     """df with a column ids (array<int>), the tokens of text_col."""
-    common.bounded_batches(df.sparkSession)
+    common.python_workers(df.sparkSession)
     schema = df.drop("ids").schema.add("ids", "array<int>")
     return df.drop("ids").mapInArrow(partial(_encode, model=model, text_col=text_col, end=end), schema)
 
@@ -206,7 +206,7 @@ def _decode(batches: Iterator[pa.RecordBatch], *, model: str, ids_col: str) -> I
 
 def decode(df: DataFrame, *, model: str, ids_col: str = "ids") -> DataFrame:
     """df with a column decoded, the text of the tokens in ids_col (null: empty)."""
-    common.bounded_batches(df.sparkSession)
+    common.python_workers(df.sparkSession)
     schema = df.drop("decoded").schema.add("decoded", "string")
     return df.drop("decoded").mapInArrow(partial(_decode, model=model, ids_col=ids_col), schema)
 
@@ -234,6 +234,6 @@ def model_path() -> str:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes, then decodes what it encoded, in one pass over the texts: ids of a document never leave the worker."""
-    common.bounded_batches(spark)
+    common.python_workers(spark)
     rows = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(partial(_digests, model=model_path()), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, wordcache
+from . import bpe, common
 
 SCHEMA = "part int, doc_id bigint, n_tokens bigint, ids array<int>"
 
@@ -34,7 +34,7 @@ ENCODINGS = {
 
 
 def _encode(batches: Iterator[pa.RecordBatch], *, vocabulary: str, kind: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode, end = wordcache.encoder(vocabulary, kind).encode, np.asarray([end_id], dtype="<u4").tobytes()
+    encode, end = bpe.encoder(vocabulary, kind).encode, np.asarray([end_id], dtype="<u4").tobytes()
     for batch in batches:
         found = [encode(text or "") + end for text in batch.column("text").to_pylist()]
         n = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
@@ -48,7 +48,7 @@ def _encode(batches: Iterator[pa.RecordBatch], *, vocabulary: str, kind: str, en
 
 def write_ids(documents: DataFrame, path: str, *, vocabulary: str, kind: str = "byte", end_id: int = 0, encoding: str = "dictionary", row_group_mb: int = 32, page_rows: int = 1000, codec: str = "zstd") -> None:
     """Encodes documents (doc_id, text) and writes them to path."""
-    common.bounded_batches(documents.sparkSession)
+    common.python_workers(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ids = rows.withColumn("part", F.spark_partition_id()).mapInArrow(partial(_encode, vocabulary=vocabulary, kind=kind, end_id=end_id), SCHEMA)
@@ -86,7 +86,7 @@ def positions(lengths: DataFrame) -> DataFrame:
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "token-ids")
-    write_ids(common.table(spark, sf_dir, "documents"), path, vocabulary=wordcache.byte_vocabulary())
+    write_ids(common.table(spark, sf_dir, "documents"), path, vocabulary=bpe.byte_vocabulary())
     read = common.written(read_ids(spark, path).mapInArrow(_checksums, "part int, doc_id bigint, n_tokens bigint, ids_crc32 bigint"), "token-checksums")
     common.remove(spark, path)
     return positions(read).select("doc_id", "start", "n_tokens", "ids_crc32")
