@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sentencepiece_codec, token_output
+from . import exact_dedup, sentencepiece_codec, substring_dedup, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op10_token_output": token_output.op10_token_output,
     }
@@ -19,5 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": substring_dedup.SQL,
         "op7_exact_dedup": exact_dedup.SQL,
     }
