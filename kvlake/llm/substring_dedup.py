@@ -29,65 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .slices import SPACE, Hashes, gather, same_slices
 
 K = 13
 GRAM = 3
 #: Bytes of text handled at once, and text bytes for each bucket.
 CHUNK_BYTES = 1 << 21
-BUCKET_BYTES = 8 << 20
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        steps = [np.full(max(n, 1 << 16), b, np.uint64) for b in (_BASE, _INVERSE)]
-        for x in steps:
-            x[0] = 1
-        _powers[:] = [np.cumprod(x) for x in steps]
-    return _powers[0][:n], _powers[1][:n]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Hashes:
-    """Hashes of any slices of an array, from its prefix sums."""
-
-    def __init__(self, values: np.ndarray):
-        up, self.down = _power(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values.astype(np.uint64) * up[:-1], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.down[start])
-
-
-def _gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The slices' bytes, one after another."""
-    total = int(size.sum())
-    shift = start - np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else start
-    return buf[np.repeat(shift, size) + np.arange(total)]
-
-
-def _same(buf: np.ndarray, a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
-    """Which slices a equal the slices b."""
-    same = a_size == b_size
-    at = np.flatnonzero(same & (a_size > 0))
-    for part in np.array_split(at, 1 + int(a_size[at].sum()) // (1 << 22)):
-        if len(part):
-            differ = _gather(buf, a[part], a_size[part]) != _gather(buf, b[part], a_size[part])
-            same[part] = ~np.logical_or.reduceat(differ, np.concatenate(([0], np.cumsum(a_size[part])[:-1])))
-    return same
-
+BUCKET_BYTES = 4 << 20
 
 def _min_of(values: np.ndarray, width: int) -> np.ndarray:
     """Minima of all runs of width values, by doubling."""
@@ -104,7 +52,7 @@ def _segments(text: bytes, k: int) -> Iterator[tuple[int, bytes]]:
     first, at = 0, 0
     while len(text) - at > CHUNK_BYTES:
         end = at + CHUNK_BYTES
-        while end < len(text) and not _SPACE[text[end]]:
+        while end < len(text) and not SPACE[text[end]]:
             end += 1
         words = text[at:end].split()
         if end == len(text) or len(words) < k:
@@ -128,7 +76,7 @@ class _Chunk:
     def __init__(self, segments: list[tuple[int, int, int, bytes]], k: int):
         ids, crcs, firsts, texts = zip(*segments, strict=True)
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        space = _SPACE[raw]
+        space = SPACE[raw]
         edges = np.flatnonzero(np.diff(space, prepend=True))
         start, end = edges[0::2], edges[1::2]
         size = end - start
@@ -148,9 +96,9 @@ class _Chunk:
         self.minimiser = np.zeros(0, np.uint64)
         if n <= 0:
             return
-        self.bytes = _Hashes(self.buf)
+        self.bytes = Hashes(self.buf)
         words = self.bytes(self.start, self.end)
-        grams = _Hashes(words)(np.arange(len(words) - GRAM + 1), np.arange(GRAM, len(words) + 1))
+        grams = Hashes(words)(np.arange(len(words) - GRAM + 1), np.arange(GRAM, len(words) + 1))
         least = _min_of(grams, k - GRAM + 1)
         valid = self.segment[:n] == self.segment[k - 1 :]
         new = np.ones(n, bool)
@@ -188,14 +136,14 @@ def _super_k_mers(segments: list[tuple[int, int, int, bytes]], k: int, buckets:
     leader = np.maximum.accumulate(np.where(np.diff(hashes[order], prepend=~hashes[order[0]]) != 0, np.arange(len(order)), 0))
     later, leads = order, order[leader]
     known = ids[later] > ids[leads]
-    known[known] = _same(c.buf, start[later[known]], size[later[known]], start[leads[known]], size[leads[known]])
+    known[known] = same_slices(c.buf, start[later[known]], size[later[known]], start[leads[known]], size[leads[known]])
     done, sent = later[known], later[~known]
     out = []
     if len(done):
         out.append((int(ids[done[0]] % buckets), True, _packed(ids[done], crcs[done], c.word[first[done]], windows[done] + k - 1, b"")))
     bucket = (c.minimiser[sent] % np.uint64(buckets)).astype(np.int64)
     sent, bucket = sent[by := np.argsort(bucket, kind="stable")], bucket[by]
-    text = _gather(c.buf, start[sent], size[sent] + 1)
+    text = gather(c.buf, start[sent], size[sent] + 1)
     text_end = np.cumsum(size[sent] + 1)
     edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -224,6 +172,17 @@ def _cut(batches: Iterator[pa.RecordBatch], *, k: int, buckets: int) -> Iterator
         yield packed(held)
 
 
+def _word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words, a block of the buffer at a time, as they take several times its memory."""
+    found, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK_BYTES)))
+        base = int(start[at])
+        found[at:to] = Hashes(buf[base : int(end[to - 1])])(start[at:to] - base, end[at:to] - base)
+        at = to
+    return found
+
+
 def _repeats(table: pa.Table, k: int) -> pa.Table:
     """Ranges of words of a bucket's windows that a smaller doc_id has."""
     ranges = [np.zeros((4, 0), np.int64)]
@@ -240,7 +199,7 @@ def _repeats(table: pa.Table, k: int) -> pa.Table:
         del texts
         end = np.flatnonzero(buf == 0x20)
         start = np.concatenate(([0], end[:-1] + 1))
-        hashes = _Hashes(_Hashes(buf)(start, end))
+        hashes = Hashes(_word_hashes(buf, start, end))
         windows = counts - k + 1
         begin = np.cumsum(counts) - counts
         by_id = np.argsort(ids, kind="stable")  # windows in the order of doc_id: the first of equals is the smallest
@@ -254,7 +213,7 @@ def _repeats(table: pa.Table, k: int) -> pa.Table:
         leads = order[leader]
         found = np.flatnonzero(order != leads)
         a, b = word[order[found]], word[leads[found]]
-        same = _same(buf, start[a], end[a + k - 1] - start[a], start[b], end[b + k - 1] - start[b])
+        same = same_slices(buf, start[a], end[a + k - 1] - start[a], start[b], end[b + k - 1] - start[b])
         hit = np.zeros(len(owner), bool)
         hit[order[found]] = same & (ids[owner[order[found]]] > ids[owner[leads[found]]])
         for v in np.unique(value[found[~same]]):  # different windows with the same hash
