@@ -3,9 +3,11 @@
 "byte" vocabularies (byte-level BPE) run in tiktoken, which merges by rank: the tokenizer file's merges are in the order
 of their ids, so that an id is a rank. It needs no cache and takes a third of the library's time.
 
-"word" vocabularies (lower case, white space only separates) run in the library, behind a bounded cache: for plain texts
-(NOT_PLAIN finds none) a run of other characters is encoded alike wherever it stands, and a text is the concatenation of
-its runs. A text with any other character goes to the library as a whole.
+"word" vocabularies (lower case, white space only separates, word ends marked) run in tiktoken too, behind a bounded
+cache: in plain texts (NOT_PLAIN finds nothing) a run of other characters is encoded alike wherever it stands, and a text
+is the concatenation of its runs. A byte in a word is written as two, a mark and the byte, with another mark for the last
+one, so that the symbols of word ends are byte strings of their own. A text with any other character goes to the library
+as a whole.
 
 Ids come as little-endian unsigned 32-bit integers. Strings of special tokens in a text are ordinary text.
 """
@@ -29,6 +31,12 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 CACHE_UNITS = 250_000
 LONGEST_UNIT = 48
 
+#: Fixed value: the words of the "word" vocabularies, for lower-cased plain texts.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+")
+WORD_END = "</w>"
+#: The mark for the last byte of a word, which isn't in UTF-8; that for the others is zero, which isn't in plain texts.
+LAST = b"\xff"
+
 
 def byte_symbols() -> dict[str, int]:
     """The character that byte-level BPE writes for each byte: printable bytes stand for themselves, the others are
@@ -38,6 +46,11 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _marked(word: bytes, last: bool) -> bytes:
+    out = word.decode("latin-1").encode("utf-16-be")  # a zero before each byte
+    return out[:-2] + LAST + out[-1:] if last else out
+
+
 class ByteEncoder:
     """Encodes texts exactly as the byte-level tokenizer in path does without special tokens."""
 
@@ -64,40 +77,63 @@ class WordEncoder:
 
     def __init__(self, path: str, *, cache_units: int = CACHE_UNITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            tokenizer = json.load(f)
+        model, byte = tokenizer["model"], byte_symbols()
+        special = {t["content"] for t in tokenizer["added_tokens"]}
+        ids = [model["vocab"]["".join(pair.split(" ") if isinstance(pair, str) else pair)] for pair in model["merges"]]
+        if model["end_of_word_suffix"] != WORD_END or ids != sorted(ids):
+            raise ValueError("a tokenizer with word ends whose ids follow its merges is needed")
+        ranks = {}
+        for token, i in model["vocab"].items():
+            if token not in special:
+                ranks[_marked(bytes(byte[c] for c in token.removesuffix(WORD_END)), token.endswith(WORD_END))] = i
+        ranks |= {bytes([b]): len(model["vocab"]) + b for b in range(256)}  # never left over
+        self._word = tiktoken.Encoding("word-end", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit = cache_units
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _run(self, run: str) -> bytes:
+        found = b""
+        for word in WORDS.findall(run.lower()):
+            ids = self.words.get(word)
+            if ids is None:
+                if len(self.words) > self.limit:
+                    self.words.clear()
+                ids = np.asarray(self._word(_marked(word.encode(), True)), "<u4").tobytes()
+                if len(word) <= LONGEST_UNIT:
+                    self.words[word] = ids
+            found += ids
+        return found
+
     def encode(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
         if NOT_PLAIN.search(text):
             return self._library([text])[0]
-        units = text.split()
+        units, young = text.split(), self.young
         try:
-            return b"".join(map(self.young.__getitem__, units))
+            return b"".join(map(young.__getitem__, units))
         except KeyError:
-            pass
-        young, old, ids = self.young, self.old, {}
-        absent = []
-        for unit in set(units):
-            if (found := young.get(unit) or old.get(unit)) is None:
-                absent.append(unit)
-            else:
-                ids[unit] = found
-        ids.update(zip(absent, self._library(absent), strict=True))
-        for unit, found in ids.items():
-            if len(unit) <= LONGEST_UNIT:
-                young[unit] = found
+            absent = set(units).difference(young)
+        for unit in absent:
+            young[unit] = self.old.get(unit) or self._run(unit)
+        found = b"".join(map(young.__getitem__, units))
+        for unit in absent:
+            if len(unit) > LONGEST_UNIT:
+                del young[unit]
         if len(young) > self.limit:
             self.old, self.young = young, {}
-        return b"".join(map(ids.__getitem__, units))
+        return found
 
 
 KINDS = {"byte": ByteEncoder, "word": WordEncoder}
