@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, sentencepiece_codec, substring_dedup, token_output
+from . import exact_dedup, packing, sentencepiece_codec, substring_dedup, token_output, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op6_packing": packing.op6_packing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_token_output": token_output.op10_token_output,
     }
 
