@@ -8,6 +8,7 @@ import numpy as np
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
+GATHER_BYTES = 1 << 19
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
@@ -41,10 +42,18 @@ class Hashes:
 
 
 def gather(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The slices' bytes, one after another."""
-    total = int(size.sum())
-    shift = start - np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else start
-    return buf[np.repeat(shift, size) + np.arange(total)]
+    """The slices' bytes, one after another. Indices are made for about GATHER_BYTES at a time."""
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if len(end) else 0, buf.dtype)
+    at = 0
+    while at < len(size):
+        done = int(end[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(end, done + GATHER_BYTES)))
+        own = size[at:to]
+        shift = start[at:to] - (end[at:to] - own - done)
+        out[done : int(end[to - 1])] = buf[np.repeat(shift, own) + np.arange(int(end[to - 1]) - done)]
+        at = to
+    return out
 
 
 def same_slices(buf: np.ndarray, a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:

@@ -34,7 +34,9 @@ from .slices import SPACE, Hashes, gather, same_slices
 K = 13
 GRAM = 3
 #: Bytes of text handled at once, and text bytes for each bucket.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 22
+#: Of the compression of packed strings.
+LEVEL = 6
 BUCKET_BYTES = 4 << 20
 
 def _min_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -110,16 +112,21 @@ class _Chunk:
 
 
 def _packed(ids: np.ndarray, crcs: np.ndarray, words: np.ndarray, counts: np.ndarray, text: bytes) -> bytes:
+    """The columns, ids as differences and bytes of equal weight together, and the text, compressed."""
     head = np.asarray([len(ids)], "<i8").tobytes()
-    return zstandard.compress(head + ids.astype("<i8").tobytes() + crcs.astype("<u4").tobytes() + words.astype("<i4").tobytes() + counts.astype("<i4").tobytes() + text, 3)
+    columns = (np.diff(ids, prepend=0).astype("<i8"), crcs.astype("<u4"), words.astype("<i4"), counts.astype("<i4"))
+    return zstandard.compress(head + b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns) + text, LEVEL)
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     raw = zstandard.decompress(blob)
     n, at, found = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
     for kind in ("<i8", "<u4", "<i4", "<i4"):
-        found.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
-        at += n * int(kind[-1])
+        width = int(kind[-1])
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        found.append(np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64))
+        at += n * width
+    found[0] = np.cumsum(found[0])
     return *found, raw[at:]
 
 
@@ -142,7 +149,7 @@ def _super_k_mers(segments: list[tuple[int, int, int, bytes]], k: int, buckets:
     if len(done):
         out.append((int(ids[done[0]] % buckets), True, _packed(ids[done], crcs[done], c.word[first[done]], windows[done] + k - 1, b"")))
     bucket = (c.minimiser[sent] % np.uint64(buckets)).astype(np.int64)
-    sent, bucket = sent[by := np.argsort(bucket, kind="stable")], bucket[by]
+    sent, bucket = sent[by := np.lexsort((sent, bucket))], bucket[by]
     text = gather(c.buf, start[sent], size[sent] + 1)
     text_end = np.cumsum(size[sent] + 1)
     edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
