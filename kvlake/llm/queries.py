@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, packing, sentencepiece_codec, substring_dedup, token_output, toxicity
+from . import exact_dedup, minhash, packing, pii, sentencepiece_codec, substring_dedup, token_output, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op4_pii": pii.op4_pii,
         "op5_minhash": minhash.op5_minhash,
         "op6_packing": packing.op6_packing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
