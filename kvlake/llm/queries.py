@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, packing, pii, sentencepiece_codec, substring_dedup, token_output, topk_search, toxicity
+from . import exact_dedup, minhash, packing, pii, sentencepiece_codec, substring_dedup, token_counts, token_output, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_minhash": minhash.op5_minhash,
         "op6_packing": packing.op6_packing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_token_counts": token_counts.op8_token_counts,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_token_output": token_output.op10_token_output,
     }
