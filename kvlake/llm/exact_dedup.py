@@ -5,8 +5,8 @@ shuffled, a sort-merge anti-join with the index keeps the new digests, and those
 with the index's own number of buckets, so neither the join nor the append moves the index.
 
 Defined cases: a null text counts as empty; of equal texts in a batch the row with the largest doc_id stays (a null
-doc_id is the smallest); rows that repeat doc_id and text are one document, of which add() returns one row (the largest
-in the order of its other columns) and verdicts() returns each row with the same verdict. An empty batch gives no rows.
+doc_id is the smallest); rows that repeat doc_id and text are one document, of which add() returns one row (that of the
+largest hash of its other columns) and verdicts() returns each row with the same verdict. An empty batch gives no rows.
 Extra columns are carried by add() whatever their names.
 
 Everything here is DataFrame operations.
@@ -63,15 +63,20 @@ class DigestIndex:
 
     def add(self, batch: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The rows of batch to keep: of each text that the index lacks the row with the largest id. Its digests join
-        the index. The result is a written table, so that it doesn't change as the index grows."""
+        the index. Which rows these are is a written table, so that the result doesn't change as the index grows; texts
+        are shuffled once."""
         rest = [F.col(f"`{c}`") for c in batch.columns if c not in (id_col, text_col)]
-        row = F.struct(F.col(id_col).alias("_id"), *(c.cast("string").alias(f"_o{i}") for i, c in enumerate(rest)), F.struct(*(F.col(f"`{c}`") for c in batch.columns)).alias("_row"))
-        groups = batch.select(digest(F.col(text_col)).alias("_digest"), row.alias("_best")).groupBy("_digest").agg(
-            F.max_by("_best", F.struct("_best._id", *(F.col(f"_best._o{i}") for i in range(len(rest))))).alias("_best"), F.count(F.lit(1)).alias("_n")
-        )
+        keys = ["_digest", "_id", "_rest"]
+        keyed = batch.select(F.struct(*(F.col(f"`{c}`") for c in batch.columns)).alias("_row"), digest(F.col(text_col)).alias("_digest"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.lit(0), *rest).alias("_rest"))
+        groups = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).groupBy("_digest").agg(F.max(F.struct("_id", "_rest", "_n")).alias("_best"), F.sum("_n").alias("_size"))
         fresh = common.written(self.unseen(groups, "_digest"), "exact-dedup")
-        self.append(fresh.select(F.col("_digest").alias("digest"), F.col("_best._id").cast("long").alias("keep_id"), F.col("_n").alias("group_size")).repartition(self.buckets, "digest"))
-        return fresh.select("_best._row.*")
+        self.append(fresh.select(F.col("_digest").alias("digest"), F.col("_best._id").alias("keep_id"), F.col("_size").alias("group_size")).repartition(self.buckets, "digest"))
+        chosen = fresh.select(F.col("_digest").alias("d"), F.col("_best._id").alias("i"), F.col("_best._rest").alias("r"), (F.col("_best._n") > 1).alias("_repeated"))
+        kept = keyed.join(chosen, (keyed["_digest"] == chosen["d"]) & keyed["_id"].eqNullSafe(chosen["i"]) & (keyed["_rest"] == chosen["r"]))
+        if chosen.where("_repeated").isEmpty():
+            return kept.select("_row.*")
+        once = kept.where("_repeated").groupBy(*keys).agg(F.first("_row").alias("_row"))
+        return kept.where("NOT _repeated").select("_row.*").unionByName(once.select("_row.*"))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
@@ -100,7 +105,8 @@ def verdicts(documents: DataFrame, index: DigestIndex | None = None) -> DataFram
     salted = seen.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
     known = index.table().join(fresh.select("digest", "fresh"), "digest", "left").join(F.broadcast(hot), "digest", "left")
     known = known.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    return salted.join(known.hint("merge"), ["digest", "salt"]).select(
+    # Dealt by both columns expressly: a join alone may deal by the digest only.
+    return salted.repartition("digest", "salt").join(known.repartition("digest", "salt").hint("merge"), ["digest", "salt"]).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.coalesce(F.col("fresh"), F.lit(False))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 

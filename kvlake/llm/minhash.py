@@ -121,7 +121,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], *, rows: int, count: int) -> It
         for a, b in _chunks(texts):
             sizes, prints, keys = _fingerprints(texts[a:b], rows, count)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), count).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), keys], names=["doc_id", "n_shingles", "print", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), keys], names=["doc_id", "text_hash", "n_shingles", "print", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,15 +235,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, *, percent: int = PERCENT, rows: int = ROWS, count: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of documents."""
+    """doc_id, n_shingles, component_id, kept for every row of documents, and text_hash (xxhash64 of the text) and chosen,
+    which unlike kept holds for one text only of a component with several texts of its least doc_id."""
     spark = documents.sparkSession
     common.python_workers(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    sketched = common.written(texts.mapInArrow(partial(_sketched, rows=rows, count=count), "doc_id bigint, n_shingles bigint, print binary, bands array<bigint>"), "sketches")
+    sketched = common.written(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(partial(_sketched, rows=rows, count=count), "doc_id bigint, text_hash bigint, n_shingles bigint, print binary, bands array<bigint>"), "sketches")
 
     # Classes: documents with the same set. Only one of each is compared.
-    classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    classes = common.written(classes.withColumn("node", _node("doc_id", "print")), "classes")
+    classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("bands").alias("bands"))
+    classes = common.written(classes.select("print", "least.doc_id", "least.text_hash", "bands").withColumn("node", _node("doc_id", "print")), "classes")
 
     # Buckets with several classes; of buckets with the same members one is enough.
     keyed = classes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
@@ -270,15 +271,24 @@ def near_duplicates(documents: DataFrame, *, percent: int = PERCENT, rows: int =
     more = common.written(_verified(common.written(open_rows, "open"), sets, percent), "links-more")
     comps = components(links.unionByName(more))
 
-    labels = classes.join(comps, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"))
+    labels = classes.join(comps, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"), F.when(F.coalesce("comp", "node") == F.col("node"), F.col("text_hash")).alias("chosen_hash"))
     first = F.conv(F.hex(F.substring("comp", 1, 8)), 16, 10).cast("decimal(20,0)")
-    labels = labels.select("print", (first - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long").alias("component"))
+    labels = labels.select("print", "chosen_hash", (first - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long").alias("component"))
     return (
-        sketched.select("doc_id", "n_shingles", "print").join(labels, "print", "left")
+        sketched.select("doc_id", "text_hash", "n_shingles", "print").join(labels, "print", "left")
         .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .withColumn("chosen", F.col("kept") & (F.col("doc_id").isNull() | (F.col("n_shingles") == 0) | (F.col("text_hash").eqNullSafe(F.col("chosen_hash")))))
+        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "chosen")
     )
 
 
+def deduplicate(documents: DataFrame) -> DataFrame:
+    """documents without all but one text of each component."""
+    chosen = near_duplicates(documents).where("chosen").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(common.text_of()) == F.col("_hash"))
+    return documents.join(chosen, same, "left_semi")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

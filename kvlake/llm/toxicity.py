@@ -173,7 +173,7 @@ def _scored(batches: Iterator[pa.RecordBatch], *, model: Model) -> Iterator[pa.R
         def flush():
             np.add.at(total, owner, model.surprise(held))
 
-        for i, text in enumerate(batch.column("text").to_pylist()):
+        for i, text in enumerate(batch.column("_scored").to_pylist()):
             for part in _segments(text.lower().encode()):
                 if size and size + len(part) > CHUNK_BYTES:
                     flush()
@@ -183,15 +183,16 @@ def _scored(batches: Iterator[pa.RecordBatch], *, model: Model) -> Iterator[pa.R
         if held:
             flush()
         score = -np.expm1(-total)
-        names = [n for n in batch.schema.names if n != "text"]
+        names = [n for n in batch.schema.names if n != "_scored"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], names=[*names, "score"])
 
 
-def score(rows: DataFrame, model: Model) -> DataFrame:
-    """rows (with a column text that isn't null) with score in text's place."""
-    common.python_workers(rows.sparkSession)
-    schema = rows.drop("text").schema.add("score", "double")
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+def score(documents: DataFrame, model: Model, *columns: str) -> DataFrame:
+    """columns of documents (all by default) and score."""
+    common.python_workers(documents.sparkSession)
+    rows = documents.select(*(F.col(f"`{c}`") for c in columns or documents.columns if c != "score"), common.text_of().alias("_scored"))
+    schema = rows.drop("_scored").schema.add("score", "double")
+    sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _scored(batches, model=sent.value)
@@ -228,5 +229,5 @@ def locate(documents: DataFrame, model: Model, *, least: float = 0.5) -> DataFra
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
     model = learn(documents, common.table(spark, sf_dir, "labels"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    return score(rows, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    rows = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return score(rows, model, "doc_id").select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
