@@ -2,12 +2,12 @@
 
 Each vector is cut into LISTS slices of its components. A query's score for a vector is the sum of the slices' partial
 scores; a slice's partial scores of all vectors are one of the query's lists. Lists are held by blocks of vectors.
-  1. Each block sends the largest K partial scores of each list. Missing partial scores count as the list's minimum over
-     all blocks, which the blocks send too. The k-th largest sum is a score that at least k vectors reach.
+  1. Each block sends its K largest scores and the minimum of each of its lists. The k-th largest of all that were sent
+     is a score that at least k vectors reach.
   2. That score less the minima of all lists, divided by the number of lists, is how far above its list's minimum at
-     least one partial score of every vector in the answer lies. This cutoff goes out with the queries, and each block
-     sends its entries that reach it, in any list. Upper bounds of the sums (a partial score not sent is below its cutoff)
-     drop the vectors that can't reach the k-th largest lower bound.
+     least one partial score of every vector in the answer lies. This cutoff goes out with the queries, and each list
+     sends its entries that reach it. Upper bounds of the sums (a partial score not sent is below its cutoff) drop the
+     vectors that can't reach the first phase's score or the k-th largest lower bound.
   3. The scores of those left are resolved from the vectors.
 The answer is exact; ties go to the smaller id.
 
@@ -80,22 +80,21 @@ def _partials(q: np.ndarray, v: np.ndarray, lists: int) -> list[np.ndarray]:
 
 
 def _first_phase(batches, *, k: int, lists: int):
-    """query_id, list, least (of the block), ids and scores of the k largest partial scores."""
+    """query_id, leasts (of the block's lists), ids and scores of the k largest scores."""
     for batch in batches:
         for row in batch.to_pylist():
             (qi, q), (vi, v) = _unpack(row["ids"], row["values"]), _unpack(row["vector_ids"], row["vector_values"])
-            own = qi[:, None] == vi[None, :]
+            partials = _partials(q, v, lists)
+            leasts = np.stack([p.min(axis=1) for p in partials], axis=1).astype(np.int64)
+            score = np.where(qi[:, None] == vi[None, :], -np.inf, sum(partials))  # a query isn't its own candidate
+            n = min(k, len(vi))
+            top = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            found = np.take_along_axis(score, top, axis=1)
             out = []
-            for j, p in enumerate(_partials(q, v, lists)):
-                least = p.min(axis=1) if len(vi) else np.zeros(len(qi))
-                ranked = np.where(own, -np.inf, p)  # a query isn't its own candidate
-                n = min(k, len(vi))
-                top = np.argpartition(-ranked, n - 1, axis=1)[:, :n]
-                found = np.take_along_axis(ranked, top, axis=1)
-                for i in range(len(qi)):
-                    fine = found[i] > -np.inf
-                    out.append((int(qi[i]), j, int(least[i]), vi[top[i][fine]].tolist(), found[i][fine].astype(np.int64).tolist()))
-            yield _batch(out, ["query_id", "list", "least", "vec_ids", "partials"], [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())])
+            for i in range(len(qi)):
+                fine = found[i] > -np.inf
+                out.append((int(qi[i]), leasts[i].tolist(), vi[top[i][fine]].tolist(), found[i][fine].astype(np.int64).tolist()))
+            yield _batch(out, ["query_id", "leasts", "vec_ids", "scores"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())])
 
 
 def _second_phase(batches, *, lists: int):
@@ -139,14 +138,14 @@ def search(queries: DataFrame, vectors: DataFrame, *, k: int = K, lists: int = L
     def first(batches):
         return _first_phase(batches, k=k, lists=lists)
 
-    local = common.written(_met(asked, held, blocks).mapInArrow(first, "query_id bigint, list int, least bigint, vec_ids array<bigint>, partials array<bigint>"), "first")
-    minima = local.groupBy("query_id").pivot("list", list(range(lists))).agg(F.min("least"))
-    minima = minima.select("query_id", *(F.col(str(j)).alias(f"least{j}") for j in range(lists)))
-    entries = local.select("query_id", "list", F.explode(F.arrays_zip("vec_ids", "partials")).alias("e")).select("query_id", "list", F.col("e.vec_ids").alias("vec_id"), F.col("e.partials").alias("partial"))
-    sums = entries.join(minima, "query_id").withColumn("above", F.col("partial") - _of_list("least", lists)).groupBy("query_id", "vec_id").agg(F.sum("above").alias("score"))
-    # Without k entries every vector is in the answer, and the cutoff lets all through.
-    cutoff = F.coalesce(F.col("kth"), F.lit(0)) / lists
-    cuts = common.written(minima.join(_kth(sums, k), "query_id", "left").select("query_id", *(F.col(f"least{j}") for j in range(lists)), cutoff.alias("above"), *((F.col(f"least{j}") + cutoff).alias(f"cut{j}") for j in range(lists))), "cutoffs")
+    local = common.written(_met(asked, held, blocks).mapInArrow(first, "query_id bigint, leasts array<bigint>, vec_ids array<bigint>, scores array<bigint>"), "first")
+    least = lambda j: F.col(f"least{j}")
+    minima = local.groupBy("query_id").agg(*(F.min(F.col("leasts")[j]).alias(f"least{j}") for j in range(lists)))
+    sent = local.select("query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("e")).select("query_id", F.col("e.vec_ids").alias("vec_id"), F.col("e.scores").alias("score"))
+    # Without k other vectors all are in the answer, and the cutoff lets all through.
+    reached = F.col("kth") - sum((least(j) for j in range(1, lists)), least(0))
+    cuts = minima.join(_kth(sent, k), "query_id", "left").withColumn("reached", F.coalesce(reached, F.lit(0)))
+    cuts = common.written(cuts.select("query_id", *(f"least{j}" for j in range(lists)), "reached", *((least(j) + F.col("reached") / lists).alias(f"cut{j}") for j in range(lists))), "cutoffs")
 
     asked, _ = _blocks(queries.join(cuts.select(F.col("query_id").alias("vec_id"), *(f"cut{j}" for j in range(lists))), "vec_id"), n_queries, QUERIES)
 
@@ -155,9 +154,10 @@ def search(queries: DataFrame, vectors: DataFrame, *, k: int = K, lists: int = L
 
     sent = common.written(_met(asked, held, blocks).mapInArrow(second, "query_id bigint, list int, vec_ids array<bigint>, partials array<bigint>"), "second")
     entries = sent.select("query_id", "list", F.explode(F.arrays_zip("vec_ids", "partials")).alias("e")).select("query_id", "list", F.col("e.vec_ids").alias("vec_id"), F.col("e.partials").alias("partial"))
-    sums = entries.join(cuts, "query_id").groupBy("query_id", "vec_id").agg(F.sum(F.col("partial") - _of_list("least", lists)).alias("score"), F.count(F.lit(1)).alias("known"), F.first("above").alias("cut"))
+    sums = entries.join(cuts, "query_id").groupBy("query_id", "vec_id").agg(F.sum(F.col("partial") - _of_list("least", lists)).alias("score"), F.count(F.lit(1)).alias("known"), F.first("reached").alias("reached"))
     sums = common.written(sums, "bounds")
-    bounded = sums.join(_kth(sums, k), "query_id", "left").where(F.col("kth").isNull() | (F.col("score") + (lists - F.col("known")) * F.col("cut") >= F.col("kth")))
+    upper = F.col("score") + (lists - F.col("known")) * F.col("reached") / lists
+    bounded = sums.join(_kth(sums, k), "query_id", "left").where(upper >= F.greatest(F.coalesce("kth", F.lit(0)), "reached"))
 
     product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     left = bounded.select("query_id", "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(vectors, "vec_id").select("query_id", "vec_id", product.alias("score"))
