@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +24,11 @@ def local_session(cores: int | str | None = None, app: str = "kvlake", **conf: s
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def find_package(spark: SparkSession | None = None) -> None:
+    """Lets Python workers find this package where the driver has it, if it isn't installed."""
+    spark = spark or SparkSession.getActiveSession()
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), root]))
