@@ -1,0 +1,93 @@
+import math
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from kvlake.functions import format as fmt
+from kvlake.functions import keycode as K
+from kvlake.functions.ranges import KeyRange, prefix_range, text_prefix_range
+
+# Golden vectors of the encoding.
+VECTORS = {
+    "boolean": [(False, "00"), (True, "01")],
+    "bigint": [
+        (-(2**63), "0000000000000000"), (-65535, "7fffffffffff0001"), (-1, "7fffffffffffffff"), (0, "8000000000000000"),
+        (1, "8000000000000001"), (65535, "800000000000ffff"), (2**63 - 1, "ffffffffffffffff"),
+    ],
+    "decimal(20,0)": [(Decimal(0), "0000000000000000"), (Decimal(1), "0000000000000001"), (Decimal(65535), "000000000000ffff"), (Decimal(2**64 - 1), "ffffffffffffffff")],
+    "double": [
+        (-1.7976931348623157e308, "0010000000000000"), (-math.inf, "000fffffffffffff"), (-math.pi, "3ff6de04abbbd2e7"), (-0.0, "7fffffffffffffff"),
+        (0.0, "8000000000000000"), (math.pi, "c00921fb54442d18"), (1.7976931348623157e308, "ffefffffffffffff"), (math.inf, "fff0000000000000"),
+    ],
+    "binary": [(bytearray(b"\x01\xff"), "01ff0000"), (bytearray(), "0000"), (bytearray(b"\x00\x01\x02"), "00ff01020000"), (bytearray(b"\x10\x01"), "10010000")],
+    "string": [("foo", "666f6f0000"), ("", "0000"), ("foo\0bar", "666f6f00ff6261720000"), ("👋", "f09f918b0000")],
+}
+
+
+@pytest.mark.parametrize("kind", VECTORS)
+def test_vectors_and_back(spark, kind):
+    df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(VECTORS[kind])] + [(99, None)], f"i int, v {kind}")
+    rows = df.select("i", "v", F.hex(K.encode(F.col("v"), kind)).alias("h"), K.decode(K.encode(F.col("v"), kind), kind).alias("back")).orderBy("i").collect()
+    assert [r.h.lower() for r in rows[:-1]] == [h for _, h in VECTORS[kind]]
+    assert [repr(r.back) for r in rows] == [repr(r.v) for r in rows]
+    assert rows[-1].h is None
+
+
+def test_compound(spark):
+    top = Decimal(2**64 - 1)
+    df = spark.createDataFrame([(True, top, bytearray(b"\x00\x01"), [False, True, False], [Decimal(0), top, Decimal(65535)], "foo")], "b boolean, u decimal(20,0), y binary, a array<boolean>, s array<decimal(20,0)>, t string")
+    kinds = df.select("b", "u", "y").schema
+    one = df.select(
+        K.encode(F.struct("b", "u", "y"), kinds).alias("tuple"), K.encode(F.col("a"), "array<boolean>").alias("array"), K.encode(F.col("s"), "array<decimal(20,0)>").alias("seq"),
+        K.encode_variant(0).alias("unit"), K.encode_variant(1, K.encode_string(F.col("t"))).alias("newtype"),
+        K.encode_variant(3, K.encode_bytes(F.col("y")), K.encode_bool(~F.col("b")), K.encode_string(F.col("t"))).alias("variant"),
+    )
+    r = one.first()
+    assert r.tuple.hex() == "01ffffffffffffffff00ff010000"
+    assert (r.array.hex(), r.seq.hex()) == ("000100", "0000000000000000ffffffffffffffff000000000000ffff")
+    assert (r.unit.hex(), r.newtype.hex(), r.variant.hex()) == ("00", "01666f6f0000", "0300ff01000000666f6f0000")
+    back = one.select(K.decode_tuple(F.col("tuple"), "boolean", "decimal(20,0)", "binary").alias("t")).first().t
+    assert tuple(back) == (True, top, bytearray(b"\x00\x01"))
+
+
+@pytest.mark.parametrize("kind,bad", [("boolean", ""), ("boolean", "02"), ("decimal(20,0)", "0000"), ("bigint", "8000"), ("string", "c0"), ("string", "c00000"), ("binary", "0001"), ("binary", "00ff")])
+def test_bad_bytes_fail(spark, kind, bad):
+    df = spark.createDataFrame([(bytearray.fromhex(bad),)], "b binary")
+    with pytest.raises(Exception, match="boolean|bytes|escape|UTF"):
+        df.select(K.decode(F.col("b"), kind)).collect()
+
+
+@pytest.mark.parametrize("kinds,bad", [(("boolean",) * 3, "0001"), (("boolean",), "0001")])
+def test_bad_tuples_fail(spark, kinds, bad):
+    df = spark.createDataFrame([(bytearray.fromhex(bad),)], "b binary")
+    with pytest.raises(Exception, match="boolean|left over"):
+        df.select(K.decode_tuple(F.col("b"), *kinds)).collect()
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "float", "date", "timestamp", "map<string,string>"])
+def test_types_without_an_encoding(spark, kind):
+    with pytest.raises(TypeError):
+        K.encode(F.lit(None), kind)
+
+
+def test_order(spark):
+    values = [(float(v), i) for v in (-math.inf, -2.5, -0.0, 0.0, 1e-300, 7.0, math.inf, math.nan) for i in (-5, 0, 9)]
+    df = spark.createDataFrame([(n, *v) for n, v in enumerate(values)], "n int, f double, i bigint")
+    encoded = K.encode_tuple(K.encode_f64(F.col("f")), K.encode_i64(F.col("i")))
+    assert [r.n for r in df.select("n", encoded.alias("k")).orderBy("k").collect()] == list(range(len(values)))
+
+
+def test_prefix_ranges():
+    assert prefix_range(b"user:") == KeyRange(b"user:", b"user;")
+    assert prefix_range(b"") == KeyRange(b"")
+    assert prefix_range(b"\xff\xff") == KeyRange(b"\xff\xff")
+    assert prefix_range(b"\xab\xc0\xff\xff") == KeyRange(b"\xab\xc0\xff\xff", b"\xab\xc1")
+    assert text_prefix_range("ab") == KeyRange("ab", "ac")
+    assert text_prefix_range("a\U0010ffff") == KeyRange("a\U0010ffff", "b")
+
+
+def test_format(spark):
+    df = spark.createDataFrame([(bytearray(b'a"\\\n\x00\xff'), bytearray(b"v")), (bytearray(b""), None)], "k binary, v binary")
+    shown = [r.s for r in df.select(fmt.key_value(F.col("k"), F.col("v")).alias("s")).collect()]
+    assert shown == ['"a\\"\\\\\\n\\x00\\xff" → "v"', '"" → None']
