@@ -1,7 +1,7 @@
 """Private data as format-preserving pseudonyms: keyed Feistel permutations within each value's format.
 
 Found are e-mail addresses, payment cards (13 to 19 digits that satisfy Luhn's check), IBANs (mod 97), phone numbers,
-United States social security numbers (of areas and groups that are issued), IPv4 addresses, dates from 1900 to 2099
+United States social security numbers (of areas and groups that are issued), IPv4 addresses, dates of two centuries
 that exist, and credentials behind token, secret, password or key and an equals sign or colon. What doesn't validate
 stays. A value becomes one of the same format: digits give digits in their places, separators stay, check digits hold, a
 date gives a date, letters give letters of their case. The permutation is one to one within a format and depends on the
@@ -46,7 +46,7 @@ ANY = f"(?:{EMAIL})|{WITHOUT_EMAIL}"
 #: Every value has one of these characters.
 HINT = "[0-9@]"
 
-#: Days from the first of 1900 to the last of 2099, as a product for the two halves.
+#: Days from the first of 1900 to the second of January 2100, as a product for the two halves.
 FIRST_DAY, DAYS = "1900-01-01", (319, 229)
 #: Social security numbers: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
 SSN_HALVES = (898 * 99, 9999)
