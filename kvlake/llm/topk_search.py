@@ -6,9 +6,9 @@ scores; a slice's partial scores of all vectors are one of the query's lists. Li
      is a score that at least k vectors reach.
   2. That score less the minima of all lists, divided by the number of lists, is how far above its list's minimum at
      least one partial score of every vector in the answer lies. This cutoff goes out with the queries, and each list
-     sends its entries that reach it. Upper bounds of the sums (a partial score not sent is below its cutoff) drop the
-     vectors that can't reach the first phase's score or the k-th largest lower bound.
-  3. The scores of those left are resolved from the vectors.
+     gives its entries that reach it; a partial score that doesn't is below its cutoff, which bounds the sums from above.
+  3. Entries whose bound reaches the first phase's score are resolved from the vectors, and each block sends the K best
+     that do reach it.
 The answer is exact; ties go to the smaller id.
 
 Queries and vectors meet as blocks: each block of queries is sent to each block of vectors, as a stated set of queries
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -33,6 +33,8 @@ K = 20
 LISTS = 2
 #: Vectors and queries in a block.
 BLOCK, QUERIES = 4096, 512
+#: Below every score that counts.
+NONE = -(2**63)
 
 
 def _blocks(vectors: DataFrame, rows: int, each: int) -> tuple[DataFrame, int]:
@@ -44,7 +46,7 @@ def _blocks(vectors: DataFrame, rows: int, each: int) -> tuple[DataFrame, int]:
         extra = [c for c in table.column_names if c not in ("dim", "block", "vec_id", "v")]
         values = np.asarray(table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.int64)
         columns = [pa.array([x], t) for x, t in ((table.column("dim")[0].as_py(), pa.int32()), (table.column("block")[0].as_py(), pa.int32()), (np.asarray(table.column("vec_id"), np.int64).tobytes(), pa.binary()), (values.tobytes(), pa.binary()))]
-        columns += [pa.array([np.asarray(table.column(c), np.float64).tobytes()], pa.binary()) for c in extra]
+        columns += [pa.array([np.asarray(table.column(c), np.int64).tobytes()], pa.binary()) for c in extra]
         return pa.table(columns, names=["dim", "block", "ids", "values", *extra])
 
     numbered = vectors.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
@@ -69,7 +71,7 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     most = [int(max(-int(x.min()), int(x.max()))) if x.size else 0 for x in (q, v)]
     bound = most[0] * most[1] * q.shape[1]
     if bound < 1 << 53:
-        return np.rint(q.astype(np.float64) @ v.astype(np.float64).T)
+        return np.rint(q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
     if bound < 1 << 63:
         return q @ v.T
     raise OverflowError("inner products beyond 64 bits")
@@ -85,32 +87,39 @@ def _first_phase(batches, *, k: int, lists: int):
         for row in batch.to_pylist():
             (qi, q), (vi, v) = _unpack(row["ids"], row["values"]), _unpack(row["vector_ids"], row["vector_values"])
             partials = _partials(q, v, lists)
-            leasts = np.stack([p.min(axis=1) for p in partials], axis=1).astype(np.int64)
-            score = np.where(qi[:, None] == vi[None, :], -np.inf, sum(partials))  # a query isn't its own candidate
+            leasts = np.stack([p.min(axis=1) for p in partials], axis=1)
+            score = np.where(qi[:, None] == vi[None, :], NONE, sum(partials))  # a query isn't its own candidate
             n = min(k, len(vi))
-            top = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            top = np.argpartition(score, len(vi) - n, axis=1)[:, len(vi) - n :]
             found = np.take_along_axis(score, top, axis=1)
             out = []
             for i in range(len(qi)):
-                fine = found[i] > -np.inf
-                out.append((int(qi[i]), leasts[i].tolist(), vi[top[i][fine]].tolist(), found[i][fine].astype(np.int64).tolist()))
+                fine = found[i] > NONE
+                out.append((int(qi[i]), leasts[i].tolist(), vi[top[i][fine]].tolist(), found[i][fine].tolist()))
             yield _batch(out, ["query_id", "leasts", "vec_ids", "scores"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())])
 
 
-def _second_phase(batches, *, lists: int):
-    """query_id, list, vec_ids, partials: entries that reach their list's cutoff."""
+def _later_phases(batches, *, k: int, lists: int):
+    """query_id, ids and scores of the k best vectors that reach the first phase's score, of each block."""
     for batch in batches:
         for row in batch.to_pylist():
             (qi, q), (vi, v) = _unpack(row["ids"], row["values"]), _unpack(row["vector_ids"], row["vector_values"])
-            own = qi[:, None] == vi[None, :]
+            cuts = [np.frombuffer(row[f"cut{j}"], np.int64)[:, None] for j in range(lists)]
+            kth = np.frombuffer(row["kth"], np.int64)
+            partials = _partials(q, v, lists)
+            reach = [p >= c for p, c in zip(partials, cuts, strict=True)]
+            bound = sum(np.where(r, p, c) for r, p, c in zip(reach, partials, cuts, strict=True))
+            wanted = np.logical_or.reduce(reach) & (bound >= kth[:, None]) & (qi[:, None] != vi[None, :])
             out = []
-            for j, p in enumerate(_partials(q, v, lists)):
-                cut = np.frombuffer(row[f"cut{j}"], np.float64)
-                reach = (p >= cut[:, None]) & ~own
-                for i in np.flatnonzero(reach.any(axis=1)).tolist():
-                    at = np.flatnonzero(reach[i])
-                    out.append((int(qi[i]), j, vi[at].tolist(), p[i, at].astype(np.int64).tolist()))
-            yield _batch(out, ["query_id", "list", "vec_ids", "partials"], [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())])
+            for i in np.flatnonzero(wanted.any(axis=1)).tolist():
+                at = np.flatnonzero(wanted[i])
+                scores = _products(q[i : i + 1], v[at])[0]
+                fine = scores >= kth[i]
+                at, scores = at[fine], scores[fine]
+                best = np.lexsort((vi[at], -scores))[:k]
+                if len(best):
+                    out.append((int(qi[i]), vi[at[best]].tolist(), scores[best].tolist()))
+            yield _batch(out, ["query_id", "vec_ids", "scores"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())])
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -118,12 +127,11 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def _kth(scores: DataFrame, k: int) -> DataFrame:
-    """query_id, kth: the k-th largest of score, or null. Ranked within parts of a query's rows first."""
-    part = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(32))).orderBy(F.desc("score"))
-    whole = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    few = scores.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k)
-    return few.withColumn("r", F.row_number().over(whole)).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
+def _ranked(sent: DataFrame, k: int) -> DataFrame:
+    """The k best of the entries that blocks sent, with rank. Each block has sent k for a query at most."""
+    entries = sent.select("query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("e")).select("query_id", F.col("e.vec_ids").alias("vec_id"), F.col("e.scores").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return entries.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def search(queries: DataFrame, vectors: DataFrame, *, k: int = K, lists: int = LISTS) -> DataFrame:
@@ -140,35 +148,20 @@ def search(queries: DataFrame, vectors: DataFrame, *, k: int = K, lists: int = L
 
     local = common.written(_met(asked, held, blocks).mapInArrow(first, "query_id bigint, leasts array<bigint>, vec_ids array<bigint>, scores array<bigint>"), "first")
     least = lambda j: F.col(f"least{j}")
+    least = [F.col(f"least{j}") for j in range(lists)]
     minima = local.groupBy("query_id").agg(*(F.min(F.col("leasts")[j]).alias(f"least{j}") for j in range(lists)))
-    sent = local.select("query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("e")).select("query_id", F.col("e.vec_ids").alias("vec_id"), F.col("e.scores").alias("score"))
+    kth = _ranked(local, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     # Without k other vectors all are in the answer, and the cutoff lets all through.
-    reached = F.col("kth") - sum((least(j) for j in range(1, lists)), least(0))
-    cuts = minima.join(_kth(sent, k), "query_id", "left").withColumn("reached", F.coalesce(reached, F.lit(0)))
-    cuts = common.written(cuts.select("query_id", *(f"least{j}" for j in range(lists)), "reached", *((least(j) + F.col("reached") / lists).alias(f"cut{j}") for j in range(lists))), "cutoffs")
-
-    asked, _ = _blocks(queries.join(cuts.select(F.col("query_id").alias("vec_id"), *(f"cut{j}" for j in range(lists))), "vec_id"), n_queries, QUERIES)
-
-    def second(batches):
-        return _second_phase(batches, lists=lists)
-
-    sent = common.written(_met(asked, held, blocks).mapInArrow(second, "query_id bigint, list int, vec_ids array<bigint>, partials array<bigint>"), "second")
-    entries = sent.select("query_id", "list", F.explode(F.arrays_zip("vec_ids", "partials")).alias("e")).select("query_id", "list", F.col("e.vec_ids").alias("vec_id"), F.col("e.partials").alias("partial"))
-    sums = entries.join(cuts, "query_id").groupBy("query_id", "vec_id").agg(F.sum(F.col("partial") - _of_list("least", lists)).alias("score"), F.count(F.lit(1)).alias("known"), F.first("reached").alias("reached"))
-    sums = common.written(sums, "bounds")
-    upper = F.col("score") + (lists - F.col("known")) * F.col("reached") / lists
-    bounded = sums.join(_kth(sums, k), "query_id", "left").where(upper >= F.greatest(F.coalesce("kth", F.lit(0)), "reached"))
-
-    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    left = bounded.select("query_id", "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(vectors, "vec_id").select("query_id", "vec_id", product.alias("score"))
-    part = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(32))).orderBy(F.desc("score"), "vec_id")
-    whole = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    few = left.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k)
-    return few.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    reached = minima.join(kth, "query_id", "left").withColumn("above", F.coalesce(F.col("kth") - sum(least[1:], least[0]), F.lit(0).cast("bigint")))
+    above = F.expr(f"above div {lists}")
+    cuts = reached.select(F.col("query_id").alias("vec_id"), F.coalesce("kth", F.lit(NONE)).alias("kth"), *((x + above).alias(f"cut{j}") for j, x in enumerate(least)))
+    asked, _ = _blocks(queries.join(common.written(cuts, "cutoffs"), "vec_id"), n_queries, QUERIES)
 
+    def later(batches):
+        return _later_phases(batches, k=k, lists=lists)
 
-def _of_list(name: str, lists: int) -> Column:
-    return F.element_at(F.array(*(F.col(f"{name}{j}") for j in range(lists))), F.col("list") + 1)
+    sent = _met(asked, held, blocks).mapInArrow(later, "query_id bigint, vec_ids array<bigint>, scores array<bigint>")
+    return _ranked(sent, k).select("query_id", "rank", "vec_id", "score")
 
 
 def quantised(embeddings: DataFrame, *, scale: int = 64) -> DataFrame:
