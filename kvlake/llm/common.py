@@ -73,3 +73,28 @@ def python_workers(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores in front of it until df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: A key is hot when it has more than one row in HOT_SHARE; there can be no more than HOT_SHARE such keys.
+HOT_SHARE = 1000
+#: Parts into which the rows of a hot key are dealt.
+SALTS = 64
+
+
+def join_salted(rows: DataFrame, sized: DataFrame, key: str, size: Column, total: int, by: Column) -> DataFrame:
+    """rows joined on key with sized, which has one row for each key and size, the key's number of rows; total is that of
+    all keys. Rows of hot keys are dealt over SALTS parts by the hash of by, and their row of sized goes to each part.
+    The list of hot keys is broadcast: it has no more than HOT_SHARE of them."""
+    hot = F.broadcast(sized.where(size * HOT_SHARE > total).select(key, F.lit(True).alias("hot")))
+    left = rows.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("hot")
+    right = sized.join(hot, key, "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    # Dealt by both columns expressly: a join alone may deal by the key only.
+    return left.repartition(key, "salt").join(right.repartition(key, "salt").hint("merge"), [key, "salt"]).drop("salt")

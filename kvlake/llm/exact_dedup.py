@@ -21,11 +21,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A digest is hot when it holds more than one row in HOT_SHARE; there can be no more than HOT_SHARE such digests.
-HOT_SHARE = 1000
-#: Parts into which the rows of a hot digest are dealt.
-SALTS = 64
-
 
 def digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
@@ -68,10 +63,16 @@ class DigestIndex:
         rest = [F.col(f"`{c}`") for c in batch.columns if c not in (id_col, text_col)]
         keys = ["_digest", "_id", "_rest"]
         keyed = batch.select(F.struct(*(F.col(f"`{c}`") for c in batch.columns)).alias("_row"), digest(F.col(text_col)).alias("_digest"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.lit(0), *rest).alias("_rest"))
-        groups = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).groupBy("_digest").agg(F.max(F.struct("_id", "_rest", "_n")).alias("_best"), F.sum("_n").alias("_size"))
+        seen = common.written(keyed.select(*keys), "exact-dedup-keys")
+        groups = seen.groupBy("_digest").agg(F.max(F.struct("_id", "_rest")).alias("_best"), F.count(F.lit(1)).alias("_size"))
         fresh = common.written(self.unseen(groups, "_digest"), "exact-dedup")
         self.append(fresh.select(F.col("_digest").alias("digest"), F.col("_best._id").alias("keep_id"), F.col("_size").alias("group_size")).repartition(self.buckets, "digest"))
-        chosen = fresh.select(F.col("_digest").alias("d"), F.col("_best._id").alias("i"), F.col("_best._rest").alias("r"), (F.col("_best._n") > 1).alias("_repeated"))
+        # Rows alike in all that is compared: one of them must be taken, which is rarely needed.
+        repeats = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys, F.lit(True).alias("_repeated"))
+        best = fresh.select("_digest", F.col("_best._id").alias("_id"), F.col("_best._rest").alias("_rest"))
+        same = [best[c].eqNullSafe(repeats[c]) for c in keys]
+        chosen = best.join(repeats, same[0] & same[1] & same[2], "left").select(best["_digest"].alias("d"), best["_id"].alias("i"), best["_rest"].alias("r"), F.coalesce("_repeated", F.lit(False)).alias("_repeated"))
+        chosen = common.written(chosen, "exact-dedup-chosen")
         kept = keyed.join(chosen, (keyed["_digest"] == chosen["d"]) & keyed["_id"].eqNullSafe(chosen["i"]) & (keyed["_rest"] == chosen["r"]))
         if chosen.where("_repeated").isEmpty():
             return kept.select("_row.*")
@@ -98,15 +99,8 @@ def verdicts(documents: DataFrame, index: DigestIndex | None = None) -> DataFram
     fresh = common.written(index.unseen(groups).withColumn("fresh", F.lit(True)), "digests-new")
     index.append(fresh.repartition(index.buckets, "digest"))
 
-    # A digest with more than a thousandth of the rows has its rows dealt over SALTS parts; at most HOT_SHARE exist, so
-    # that their list may be broadcast.
-    rows = seen.count()
-    hot = groups.where(F.col("group_size") * HOT_SHARE > rows).select("digest", F.lit(True).alias("hot"))
-    salted = seen.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    known = index.table().join(fresh.select("digest", "fresh"), "digest", "left").join(F.broadcast(hot), "digest", "left")
-    known = known.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    # Dealt by both columns expressly: a join alone may deal by the digest only.
-    return salted.repartition("digest", "salt").join(known.repartition("digest", "salt").hint("merge"), ["digest", "salt"]).select(
+    known = index.table().join(fresh.select("digest", "fresh"), "digest", "left")
+    return common.join_salted(seen, known, "digest", F.col("group_size"), seen.count(), F.col("doc_id")).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.coalesce(F.col("fresh"), F.lit(False))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
