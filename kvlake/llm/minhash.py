@@ -194,10 +194,10 @@ def _verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links between left and right members (group, node, comp, is_left, is_right) of each group. Large groups are
     cut into blocks of LEFT x RIGHT, small ones are put together."""
     sizes = members.groupBy("group").agg(F.sum(F.col("is_left").cast("long")).alias("nl"), F.sum(F.col("is_right").cast("long")).alias("nr"))
-    packs = common.partitions_for(members.sparkSession, members.count(), PACK)
+    packs = common.partitions_for(members.sparkSession, rows := members.count(), PACK)
     nl, nr = F.greatest(F.ceil(F.col("nl") / LEFT), F.lit(1)), F.greatest(F.ceil(F.col("nr") / RIGHT), F.lit(1))
     whole = (nl == 1) & (nr == 1) & (F.col("nl") + F.col("nr") <= SMALL)
-    known = members.join(sizes, "group").withColumn("own", F.xxhash64("node")).withColumn("whole", whole)
+    known = common.join_salted(members, sizes, "group", F.col("nl") + F.col("nr"), rows, F.col("node")).withColumn("own", F.xxhash64("node")).withColumn("whole", whole)
     block = lambda n: F.pmod(F.col("own"), n)
     as_left = known.where(F.col("is_left") & ~F.col("whole")).withColumn("is_right", F.lit(False)).withColumn("lb", block(nl)).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), nr - 1)))
     as_right = known.where(F.col("is_right") & ~F.col("whole")).withColumn("is_left", F.lit(False)).withColumn("rb", block(nr)).withColumn("lb", F.explode(F.sequence(F.lit(0).cast("long"), nl - 1)))
@@ -285,8 +285,9 @@ def near_duplicates(documents: DataFrame, *, percent: int = PERCENT, rows: int =
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """documents without all but one text of each component."""
-    chosen = near_duplicates(documents).where("chosen").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(common.text_of()) == F.col("_hash"))
+    i, h = common.unused(documents, "_id"), common.unused(documents, "_hash")
+    chosen = near_duplicates(documents).where("chosen").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(common.text_of()) == F.col(h))
     return documents.join(chosen, same, "left_semi")
 
 
