@@ -275,14 +275,15 @@ def pseudonymised(documents: DataFrame, *, key: str = KEY, text_col: str = "text
     """documents with pseudonyms in text_col and, behind it, n_private (values replaced) and private_kinds (of each)."""
     text = F.col(f"`{text_col}`")
     rest = [F.col(f"`{c}`") for c in documents.columns if c not in ("n_private", "private_kinds")]
+    at_found, at_made = common.unused(documents, "_found"), common.unused(documents, "_made")
     with_email = F.contains(text, F.lit("@"))
     found = F.when(with_email, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(WITHOUT_EMAIL), F.lit(0)))
-    rows = documents.select(*rest, found.alias("_found"))
-    rows = rows.select(*rest, F.when(F.size("_found") > 0, F.transform("_found", lambda m: _treated(m, key))).alias("_made"))
+    rows = documents.select(*rest, found.alias(at_found))
+    rows = rows.select(*rest, F.when(F.size(at_found) > 0, F.transform(at_found, lambda m: _treated(m, key))).alias(at_made))
     parts = F.when(with_email, F.split(text, ANY, -1)).otherwise(F.split(text, WITHOUT_EMAIL, -1))
-    joined = F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size("_made")), "_made", lambda p, m: F.concat(p, m["new"])), ""), F.element_at(parts, -1))
-    kinds = F.filter(F.transform("_made", lambda m: m["kind"]), lambda k: k.isNotNull())
-    new_text = F.when(F.col("_made").isNotNull(), joined).otherwise(text)
+    joined = F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size(at_made)), at_made, lambda p, m: F.concat(p, m["new"])), ""), F.element_at(parts, -1))
+    kinds = F.filter(F.transform(at_made, lambda m: m["kind"]), lambda k: k.isNotNull())
+    new_text = F.when(F.col(at_made).isNotNull(), joined).otherwise(text)
     return rows.select(
         *(new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns if c not in ("n_private", "private_kinds")),
         F.coalesce(F.size(kinds), F.lit(0)).cast("bigint").alias("n_private"), F.coalesce(kinds, F.array().cast("array<string>")).alias("private_kinds"),

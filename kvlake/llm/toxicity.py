@@ -165,7 +165,7 @@ def _segments(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _scored(batches: Iterator[pa.RecordBatch], *, model: Model) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], *, model: Model, column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total = np.zeros(batch.num_rows)
         held, owner, size = [], [], 0
@@ -173,7 +173,7 @@ def _scored(batches: Iterator[pa.RecordBatch], *, model: Model) -> Iterator[pa.R
         def flush():
             np.add.at(total, owner, model.surprise(held))
 
-        for i, text in enumerate(batch.column("_scored").to_pylist()):
+        for i, text in enumerate(batch.column(column).to_pylist()):
             for part in _segments(text.lower().encode()):
                 if size and size + len(part) > CHUNK_BYTES:
                     flush()
@@ -183,19 +183,20 @@ def _scored(batches: Iterator[pa.RecordBatch], *, model: Model) -> Iterator[pa.R
         if held:
             flush()
         score = -np.expm1(-total)
-        names = [n for n in batch.schema.names if n != "_scored"]
+        names = [n for n in batch.schema.names if n != column]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], names=[*names, "score"])
 
 
 def score(documents: DataFrame, model: Model, *columns: str) -> DataFrame:
     """columns of documents (all by default) and score."""
     common.python_workers(documents.sparkSession)
-    rows = documents.select(*(F.col(f"`{c}`") for c in columns or documents.columns if c != "score"), common.text_of().alias("_scored"))
-    schema = rows.drop("_scored").schema.add("score", "double")
+    column = common.unused(documents, "_scored")
+    rows = documents.select(*(F.col(f"`{c}`") for c in columns or documents.columns if c != "score"), common.text_of().alias(column))
+    schema = rows.drop(column).schema.add("score", "double")
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _scored(batches, model=sent.value)
+        return _scored(batches, model=sent.value, column=column)
 
     return rows.mapInArrow(scored, schema)
 
