@@ -65,6 +65,7 @@ class DigestIndex:
         keyed = batch.select(F.struct(*(F.col(f"`{c}`") for c in batch.columns)).alias("_row"), digest(F.col(text_col)).alias("_digest"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.lit(0), *rest).alias("_rest"))
         seen = common.written(keyed.select(*keys), "exact-dedup-keys")
         groups = seen.groupBy("_digest").agg(F.max(F.struct("_id", "_rest")).alias("_best"), F.count(F.lit(1)).alias("_size"))
+        groups = common.written(groups, "exact-dedup-groups")  # else the anti-join would go below the aggregate, where keys are hot
         fresh = common.written(self.unseen(groups, "_digest"), "exact-dedup")
         self.append(fresh.select(F.col("_digest").alias("digest"), F.col("_best._id").alias("keep_id"), F.col("_size").alias("group_size")).repartition(self.buckets, "digest"))
         # Rows alike in all that is compared: one of them must be taken, which is rarely needed.
@@ -96,6 +97,7 @@ def verdicts(documents: DataFrame, index: DigestIndex | None = None) -> DataFram
     index = index or DigestIndex(spark)
     seen = common.written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest")), "digests")
     groups = seen.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = common.written(groups, "digest-groups")  # else the anti-join would go below the aggregate, where keys are hot
     fresh = common.written(index.unseen(groups).withColumn("fresh", F.lit(True)), "digests-new")
     index.append(fresh.repartition(index.buckets, "digest"))
 
