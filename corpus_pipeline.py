@@ -25,7 +25,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: one document of each component stays, that of the smallest doc_id."""
+    """Operator 5, with shingles of five words and a similarity of 0.8: one document of each component stays, that of the
+    smallest doc_id."""
     return minhash.deduplicate(docs)
 
 

@@ -2,8 +2,9 @@
 
 A document's set holds its distinct runs of SHINGLE words, ASCII letters lower-cased; shingles are 64-bit hashes. The
 sketch fills t = BANDS x ROWS coordinates by rounds of hashed placement, so that short texts fill all of them too and
-estimates concentrate. Documents that share a band are candidates; with 32 bands of 5 a pair at a similarity of 0.85 is
-missed with a probability of about 1e-8. Links are confirmed on full sets.
+estimates concentrate. Documents that share a band are candidates. A pair right at the similarity asked for is missed
+with a probability of 1e-9 at 0.8 with 40 bands of 4 rows, and of 7e-9 at 0.85 with 32 of 5. Links are confirmed on full
+sets.
 
 Skew: documents with the same set form a class, of which one member goes on. In a bucket no list of all pairs is made.
 Every member is first compared with the least one, which joins most of a large group; then only members outside the
@@ -29,10 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 from .slices import SPACE, Hashes, mix
 
-SHINGLE = 3
-BANDS = 32
-ROWS = 5
-PERCENT = 85
+#: Words of a shingle, percent of similarity, rows of a band and bands.
+SHINGLE, PERCENT, ROWS, BANDS = 5, 80, 4, 40
 #: Members in a block of a large group, the most in a group that goes whole, rows of small groups put together, and
 #: columns of a block's matrices.
 LEFT, RIGHT, SMALL, PACK, COLUMNS = 256, 1024, 128, 2000, 2048
@@ -95,8 +94,8 @@ def bands(table: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def _fingerprints(texts: list[bytes], rows: int, count: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    sizes, values = shingle_sets(texts)
+def _fingerprints(texts: list[bytes], shingle: int, rows: int, count: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    sizes, values = shingle_sets(texts, shingle)
     ends = (np.cumsum(sizes) * 8).tolist()
     raw = memoryview(values).cast("B") if len(values) else b""
     prints = [hashlib.blake2b(raw[e - 8 * s : e], digest_size=16).digest() for e, s in zip(ends, sizes.tolist(), strict=True)]
@@ -115,20 +114,20 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], *, rows: int, count: int) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], *, shingle: int, rows: int, count: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t.encode() for t in batch.column("text").to_pylist()]
         for a, b in _chunks(texts):
-            sizes, prints, keys = _fingerprints(texts[a:b], rows, count)
+            sizes, prints, keys = _fingerprints(texts[a:b], shingle, rows, count)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), count).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), keys], names=["doc_id", "text_hash", "n_shingles", "print", "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], *, shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t.encode() for t in batch.column("text").to_pylist()]
         for a, b in _chunks(texts):
-            sizes, values = shingle_sets(texts[a:b])
+            sizes, values = shingle_sets(texts[a:b], shingle)
             parts = [x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])]
             prints = [hashlib.blake2b(p, digest_size=16).digest() for p in parts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(prints, pa.binary()), pa.array(parts, pa.binary())], names=["doc_id", "print", "set"])
@@ -234,13 +233,13 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(documents: DataFrame, *, percent: int = PERCENT, rows: int = ROWS, count: int = BANDS) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, count: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents, and text_hash (xxhash64 of the text) and chosen,
     which unlike kept holds for one text only of a component with several texts of its least doc_id."""
     spark = documents.sparkSession
     common.python_workers(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    sketched = common.written(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(partial(_sketched, rows=rows, count=count), "doc_id bigint, text_hash bigint, n_shingles bigint, print binary, bands array<bigint>"), "sketches")
+    sketched = common.written(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(partial(_sketched, shingle=shingle, rows=rows, count=count), "doc_id bigint, text_hash bigint, n_shingles bigint, print binary, bands array<bigint>"), "sketches")
 
     # Classes: documents with the same set. Only one of each is compared.
     classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("bands").alias("bands"))
@@ -253,7 +252,7 @@ def near_duplicates(documents: DataFrame, *, percent: int = PERCENT, rows: int =
     members = common.written(keyed.join(chosen.select("bucket", "pivot"), "bucket"), "members")
 
     wanted = members.select("node").distinct().join(classes.select("node", "doc_id"), "node").select("doc_id").distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, print binary, set binary")
+    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, shingle=shingle), "doc_id bigint, print binary, set binary")
     sets = common.written(sets.select(_node("doc_id", "print").alias("node"), "set"), "sets")
 
     # First every member against the least of its bucket; that joins most of a group.
@@ -283,13 +282,13 @@ def near_duplicates(documents: DataFrame, *, percent: int = PERCENT, rows: int =
     )
 
 
-def deduplicate(documents: DataFrame) -> DataFrame:
-    """documents without all but one text of each component."""
+def deduplicate(documents: DataFrame, **parameters: int) -> DataFrame:
+    """documents without all but one text of each component; parameters are near_duplicates'."""
     i, h = common.unused(documents, "_id"), common.unused(documents, "_hash")
-    chosen = near_duplicates(documents).where("chosen").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    chosen = near_duplicates(documents, **parameters).where("chosen").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(common.text_of()) == F.col(h))
     return documents.join(chosen, same, "left_semi")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(common.table(spark, sf_dir, "documents"), shingle=3, percent=85, rows=5, count=32).select("doc_id", "n_shingles", "component_id", "kept")

@@ -88,11 +88,11 @@ def test_colliding_hashes_are_told_apart(monkeypatch):
     assert {i: len(gone.get(i, ())) for i, _ in rows} == {i: n for i, _, n, _ in brute_windows(rows, 13)}
 
 
-def brute_components(rows, percent=85):
+def brute_components(rows, k=3, percent=85):
     sets = []
     for _, t in rows:
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
-        sets.append({tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
     group = list(range(len(rows)))
 
     def find(a):
@@ -130,9 +130,9 @@ def test_large_groups_go_in_blocks(spark, sf_dir, monkeypatch):
 
 
 def test_near_dedup_of_rows(spark, docs):
-    rows = varied(8, 80, 2) + [(None, "q r s t"), (500, None), (501, ""), (600, "a b c d"), (600, "A b c d")]
+    rows = varied(8, 80, 2) + [(None, "q r s t"), (500, None), (501, ""), (600, "a b c d e f"), (600, "A b c d e f")]
     kept = minhash.deduplicate(docs(rows))
-    expected = {i for i, _, _, k in brute_components(rows) if k}
+    expected = {i for i, _, _, kept_ in brute_components(rows, 5, 80) if kept_}
     assert {r.doc_id for r in kept.collect()} == expected and kept.where("doc_id = 600").count() == 1
     assert kept.columns == docs(rows).columns
 
