@@ -61,7 +61,7 @@ def text_of(column: str = "text") -> Column:
 
 
 #: Bytes of an Arrow batch sent to a Python worker, where the session doesn't say otherwise.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def python_workers(spark: SparkSession) -> None:

@@ -38,7 +38,7 @@ FEATURES = 1 << 21
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 #: Bytes of text handled at once.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 #: Kinds of bytes: 0 separates words, 1 belongs to a word, 2 ends a sentence. Bytes of letters beyond ASCII are in words.
 _KIND = np.zeros(256, np.uint8)
