@@ -28,9 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kvlake/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: it cuts the lineage and outlives executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    _made.append(path)
     df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
@@ -41,6 +45,12 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes the written tables of this process, once their results have been used."""
+    while _made:
+        remove(spark, _made.pop())
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that nothing needs any more."""
     for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

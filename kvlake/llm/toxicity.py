@@ -6,10 +6,11 @@ that the loss is the documents' and its gradient reaches the sentences through t
 sentences that made the score.
 
 The model is trained on the driver from a bounded sample of labelled rows (SAMPLE of each label, those of the least
-hashes of doc_id) and scores every text whole. Rows whose crc32(doc_id as text) mod 3 is 1 are never learnt from.
+hashes of doc_id, and SAMPLE_BYTES of text) and scores every text whole. Rows whose crc32(doc_id as text) mod 3 is 1 are never learnt from.
 
 Defined cases: a null text is empty, and an empty text's score is 0; labels that are null, or whose doc_id is null or
-without a document, aren't learnt from; without labels of both kinds every score is 0. Repeated rows are scored alike.
+without a document, aren't learnt from; of several labels the largest counts, of several texts of a doc_id the least is
+learnt from; without labels of both kinds every score is 0. Repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .slices import Hashes
 
-#: Labelled documents of each label to learn from, and bytes of each text: whole sentences up to there are learnt from.
+#: Labelled documents of each label to learn from at most, and bytes of all their texts together. Texts are learnt from
+#: whole; in the order of the hashes of their doc_id, those with which the sum stays below are taken.
 SAMPLE = 4000
-SAMPLE_BYTES = 20_000
+SAMPLE_BYTES = 64 << 20
 #: Documents of those learnt from in which a feature must be, and how much more often among toxic ones, in standard
 #: deviations; other features weigh nothing.
 LEAST_DOCUMENTS = 5
@@ -141,14 +143,15 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     """A model from at most sample documents of each label."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     of = lambda toxic: known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = of(0).unionByName(of(1))
-    text = F.substring(common.text_of(), 1, SAMPLE_BYTES).alias("text")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id")
-    found = rows.select("text", "toxic").toLocalIterator()
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = common.written(rows.where(F.octet_length("text") <= SAMPLE_BYTES).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over the sample
+    fits = rows.select("doc_id", F.sum(F.octet_length("text").cast("long")).over(order).alias("bytes")).where(F.col("bytes") <= SAMPLE_BYTES)
     texts, y = [], []
-    for row in found:
+    for row in rows.join(F.broadcast(fits), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
         texts.append(row["text"].lower().encode())
         y.append(row["toxic"])
     return train(texts, y)
