@@ -37,8 +37,10 @@ IBAN = _BEFORE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" +
 IP = r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[\p{L}\p{N}])"
 DATE = r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![./-]?[\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])"
-PHONE = r"(?:(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|(?<![\p{L}\p{N}(+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![\p{L}\p{N}])"
-CARD = r"(?<![\p{L}\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])"
+_NANP = r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+_ABROAD = r"(?!1[ .(-])[0-9]{1,3}(?:[ .-]?(?!(?:[0-9]{1,3}\.){3}[0-9])\(?[0-9]{1,4}\)?){2,5}"
+PHONE = rf"(?:(?<![\p{{L}}\p{{N}}+])\+(?:1[ .-]?{_NANP}|{_ABROAD})|(?<![\p{{L}}\p{{N}}(+-])(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}})(?![\p{{L}}\p{{N}}])"
+CARD = _BEFORE + r"(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19})" + _AFTER
 #: Numbers are looked for only where one can begin, e-mail addresses only in texts with an at sign.
 NUMBERS = "(?=[0-9A-Z+(])(?:" + "|".join(f"(?:{p})" for p in (IBAN, IP, DATE, SSN, PHONE, CARD)) + ")"
 WITHOUT_EMAIL = f"(?:{SECRET})|{NUMBERS}"
@@ -235,7 +237,8 @@ def _phone(m: Column, key: str) -> tuple[Column, Column]:
     country = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])|^\+", 0)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
     d = _digits(rest)
-    return F.length(_digits(m)).between(8, 15) & (F.length(d) >= 7), F.concat(country, _filled(rest, permuted_digits(d, key, "phone")))
+    # Numbers abroad have groups of any size: what directly follows one may be taken as part of it, rather than leave both.
+    return F.length(_digits(m)).between(8, 24) & (F.length(d) >= 7), F.concat(country, _filled(rest, permuted_digits(d, key, "phone")))
 
 
 def _email(m: Column, key: str) -> tuple[Column, Column]:

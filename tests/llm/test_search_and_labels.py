@@ -125,6 +125,16 @@ def test_what_does_not_validate_stays(spark, docs):
     assert sorted(((r.doc_id, r.text) for r in pii.pseudonymised(docs(rows)).collect()), key=str) == sorted(rows, key=str)
 
 
+def test_values_side_by_side(spark, docs):
+    values = ["+1 (826) 555-4081", "190.137.223.204", "4111111111111111", "97.51.17.173", "4111 1111 1111 1111", "10.0.0.1", "123-45-6789", "2024-02-29", "ana.68@mail7.example.com"]
+    kinds = ["phone", "ip", "card", "ip", "card", "ip", "ssn", "date", "email"]
+    made = pii.pseudonymised(docs([(1, " ".join(values)), (2, " ".join(reversed(values)))])).orderBy("doc_id").collect()
+    assert made[0].private_kinds == kinds and made[1].private_kinds == kinds[::-1]
+    assert not any(v in r.text for r in made for v in values)
+    both = pii.pseudonymised(docs([(1, "+44 20 7946 0958 123-45-6789")])).first().text
+    assert "+44 20 7946 0958" not in both and "123-45-6789" not in both
+
+
 def test_links_across_documents(spark, docs):
     a, b = "card 4111 1111 1111 1111", "4111111111111111 and 4111111111111111, 4242424242424242"
     x, y = (r.text for r in pii.pseudonymised(docs([(1, a), (2, b)])).orderBy("doc_id").collect())
