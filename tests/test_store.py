@@ -129,3 +129,36 @@ def test_streaming_ingest(spark, tmp_path):
         stream = spark.readStream.schema("key binary, value binary").option("maxFilesPerTrigger", 100).parquet(source)
         ingest(stream.dropDuplicates(["key"]), s, checkpoint=f"{tmp_path}/c", flush_batches=1).awaitTermination()
         assert s.scan().count() == 40
+
+
+def test_periodic_tasks(spark, tmp_path):
+    """A failing run doesn't end the task; stopping does."""
+    import time
+
+    from kvlake.streaming.ingest import periodic
+
+    runs = []
+
+    def task(run):
+        runs.append(run)
+        if run == 0:
+            raise ValueError("the first run fails")
+
+    query = periodic(spark, task, checkpoint=f"{tmp_path}/c", every="200 milliseconds")
+    until = time.time() + 30
+    while len(runs) < 3 and time.time() < until:
+        time.sleep(0.1)
+    query.stop()
+    query.awaitTermination()
+    assert runs[:3] == [0, 1, 2] and not query.isActive
+
+
+def test_lock_of_a_dead_writer(spark, tmp_path):
+    Store(spark, f"{tmp_path}/s").set(b"a", b"1")  # never closed: what wasn't synced is lost
+    with pytest.raises(ReadOnlyError):
+        Store(spark, f"{tmp_path}/s")
+    with Store(spark, f"{tmp_path}/s", break_lock=True) as s:
+        assert s.get(b"a") is None
+    reader = Store(spark, f"{tmp_path}/s", read_only=True)
+    with pytest.raises(ReadOnlyError):
+        reader.set(b"a", b"1")
