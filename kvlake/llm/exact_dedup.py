@@ -93,8 +93,8 @@ def verdicts(documents: DataFrame, index: DigestIndex | None = None) -> DataFram
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of documents, against an index (a fresh one by
     default) that has the digests of documents afterwards. A row whose text the index had before isn't kept, and
     keep_id and group_size are then the index's."""
-    spark = documents.sparkSession
-    index = index or DigestIndex(spark)
+    own = index is None
+    index = index or DigestIndex(documents.sparkSession)
     seen = common.written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest")), "digests")
     groups = seen.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = common.written(groups, "digest-groups")  # else the anti-join would go below the aggregate, where keys are hot
@@ -102,9 +102,13 @@ def verdicts(documents: DataFrame, index: DigestIndex | None = None) -> DataFram
     index.append(fresh.repartition(index.buckets, "digest"))
 
     known = index.table().join(fresh.select("digest", "fresh"), "digest", "left")
-    return common.join_salted(seen, known, "digest", F.col("group_size"), seen.count(), F.col("doc_id")).select(
+    found = common.join_salted(seen, known, "digest", F.col("group_size"), seen.count(), F.col("doc_id")).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.coalesce(F.col("fresh"), F.lit(False))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+    if own:
+        found = common.written(found, "verdicts")
+        index.drop()
+    return found
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
