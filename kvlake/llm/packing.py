@@ -113,11 +113,10 @@ def _place(pdf: pd.DataFrame, *, capacity: int, number: int) -> pd.DataFrame:
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (the columns of PIECE; a written table)."""
-    spark = pieces.sparkSession
-    common.python_workers(spark)
+    common.python_workers(pieces.sparkSession)
     rows = pieces.count()
     pieces = pieces.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))  # pandas would turn ids with nulls into doubles
-    groups = common.partitions_for(spark, rows, GROUP_PIECES)
+    groups = max(1, -(-rows // GROUP_PIECES))
     open_rows = pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).withColumn("group", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(groups)))
     final = None
 

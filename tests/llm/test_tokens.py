@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from kvlake.llm import bpe, packing, sentencepiece_codec, token_counts, token_output
+from kvlake.llm import bpe, common, packing, sentencepiece_codec, token_counts, token_output
 
 from .conftest import ODD
 
@@ -172,10 +172,10 @@ def test_best_fit_and_bound():
     assert packing.lower_bound(np.asarray([51, 51, 51]), 100) == 3 and packing.lower_bound(np.asarray([60, 40, 40]), 100) == 2
 
 
-def test_op6(spark, sf_dir):
+def test_op6(spark, sf_dir, monkeypatch):
     rows = ODD + [(100 + i, "word " * (37 * i % 2500)) for i in range(200)]
     encode = ids_of(bpe.word_vocabulary())
-    found = packing.op6_packing(spark, sf_dir(rows)).collect()
+    found = packing.op6_packing(spark, path := sf_dir(rows)).collect()
     expected = []
     for i, t in rows:
         ids = encode(t)
@@ -190,7 +190,12 @@ def test_op6(spark, sf_dir):
             assert offset == at
             at += length
         assert at <= 2048
-    assert len(sequences) <= packing.lower_bound(np.asarray([r.length for r in found]), 2048) + 1
+    assert len(sequences) == packing.best_fit_decreasing(np.asarray([r.length for r in found]), 2048)[0].max() + 1
+    # In several groups documents are exchanged.
+    monkeypatch.setattr(packing, "GROUP_PIECES", 40)
+    several = packing.pack(packing.pieces_of(common.table(spark, path, "documents"), vocabulary=bpe.word_vocabulary())).collect()
+    assert len(several) == len(found) and len({r.sequence_id for r in several}) <= 1.04 * len(sequences)
+    assert all(sum(r.length for r in several if r.sequence_id == s) <= 2048 for s in {r.sequence_id for r in several})
 
 
 def test_packing_without_rows(spark, sf_dir):
