@@ -21,18 +21,19 @@ import re
 import numpy as np
 
 #: Characters for which Python and the library agree on white space, letters, digits and lower case: tab, LF, CR,
-#: printable ASCII, and Latin up to U+024F without no-break space, soft hyphen and the dotted capital I.
-NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-įı-ɏ]")
+#: printable ASCII, and Latin up to U+024F without no-break space, soft hyphen, the dotted capital I and two letters whose
+#: small forms are far off. Small letters go up to U+02AF.
+NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-įı-ȹȻ-Ƚȿ-ɏ]")
 
 #: Fixed value: how byte-level BPE cuts a text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Units kept, in two generations of this size each, and the longest unit kept: about 200 MB at most.
-CACHE_UNITS = 250_000
+#: Runs kept, in two generations of this size each, besides as many words, and the longest kept: about 50 MB.
+CACHE_UNITS = 80_000
 LONGEST_UNIT = 48
 
 #: Fixed value: the words of the "word" vocabularies, for lower-cased plain texts.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ʯ]+|[0-9²³¹¼-¾]|[^\sa-zªµºÀ-ÖØ-öø-ʯ0-9²³¹¼-¾]+")
 WORD_END = "</w>"
 #: The mark for the last byte of a word, which isn't in UTF-8; that for the others is zero, which isn't in plain texts.
 LAST = b"\xff"
@@ -78,7 +79,6 @@ class WordEncoder:
     def __init__(self, path: str, *, cache_units: int = CACHE_UNITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             tokenizer = json.load(f)
@@ -93,14 +93,18 @@ class WordEncoder:
                 ranks[_marked(bytes(byte[c] for c in token.removesuffix(WORD_END)), token.endswith(WORD_END))] = i
         ranks |= {bytes([b]): len(model["vocab"]) + b for b in range(256)}  # never left over
         self._word = tiktoken.Encoding("word-end", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.tokenizer = path, None
         self.limit = cache_units
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _run(self, run: str) -> bytes:

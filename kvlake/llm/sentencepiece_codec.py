@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import common
 
@@ -193,7 +194,7 @@ def _encode(batches: Iterator[pa.RecordBatch], *, model: str, text_col: str, end
 def encode(df: DataFrame, *, model: str, text_col: str = "text", end: bool = False) -> DataFrame:
     """df with a column ids (array<int>), the tokens of text_col."""
     common.python_workers(df.sparkSession)
-    schema = df.drop("ids").schema.add("ids", "array<int>")
+    schema = df.drop("ids").schema.add("ids", ArrayType(IntegerType()))
     return df.drop("ids").mapInArrow(partial(_encode, model=model, text_col=text_col, end=end), schema)
 
 
