@@ -212,25 +212,21 @@ def _verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp: the least node of each component, by alternating large and small stars. links (a, b) are written."""
-    spark = links.sparkSession
+    """node, comp: the least node of each component of links (a, b), by alternating large and small stars, until every
+    node that isn't the least has the least as its only neighbour. Edges are written in each round."""
     edges = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    state = None
     while True:
+        n, tails = edges.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
+        if n == tails and edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(least, "u")
-        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         done = common.written(small, "edges")
-        now = done.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         common.discard(edges)
         edges = done
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        state = now
 
 
 def near_duplicates(documents: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, count: int = BANDS) -> DataFrame:
@@ -268,7 +264,8 @@ def near_duplicates(documents: DataFrame, *, shingle: int = SHINGLE, percent: in
     largest = shares.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     open_rows = known.join(largest, "bucket").select(F.col("bucket").cast("string").cast("binary").alias("group"), "node", "comp", (F.col("comp") != F.col("largest")).alias("is_left"), F.lit(True).alias("is_right"))
     more = common.written(_verified(common.written(open_rows, "open"), sets, percent), "links-more")
-    comps = components(links.unionByName(more))
+    if not more.isEmpty():
+        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
     labels = classes.join(comps, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"), F.when(F.coalesce("comp", "node") == F.col("node"), F.col("text_hash")).alias("chosen_hash"))
     first = F.conv(F.hex(F.substring("comp", 1, 8)), 16, 10).cast("decimal(20,0)")
