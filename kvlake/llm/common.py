@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +88,13 @@ def python_workers(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def release_memory() -> None:
+    """Gives freed memory back at the end of a worker's task: workers stay for other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library isn't glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores in front of it until df has no such column in any case."""
     taken = {c.lower() for c in df.columns}

@@ -121,6 +121,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], *, shingle: int, rows: int, cou
             sizes, prints, keys = _fingerprints(texts[a:b], shingle, rows, count)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), count).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), keys], names=["doc_id", "text_hash", "n_shingles", "print", "bands"])
+    common.release_memory()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], *, shingle: int) -> Iterator[pa.RecordBatch]:
@@ -131,6 +132,7 @@ def _sets(batches: Iterator[pa.RecordBatch], *, shingle: int) -> Iterator[pa.Rec
             parts = [x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])]
             prints = [hashlib.blake2b(p, digest_size=16).digest() for p in parts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(prints, pa.binary()), pa.array(parts, pa.binary())], names=["doc_id", "print", "set"])
+    common.release_memory()
 
 
 def _node(doc_id: str, fingerprint: str) -> Column:

@@ -50,6 +50,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], *, vocabulary: str, kind: str, en
         columns = list(zip(*rows, strict=True)) or [()] * 6
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+    common.release_memory()
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

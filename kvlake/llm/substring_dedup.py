@@ -177,6 +177,7 @@ def _cut(batches: Iterator[pa.RecordBatch], *, k: int, buckets: int) -> Iterator
                     held, size = [], 0
     if held:
         yield packed(held)
+    common.release_memory()
 
 
 def _word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

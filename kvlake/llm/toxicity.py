@@ -106,29 +106,34 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, rate: float
     y = np.asarray(labels, float)
     weight = (1 - y).sum() / y.sum()  # both labels count alike
     rng = np.random.default_rng(seed)
-    parts = [sentences(texts[i : i + batch]) for i in range(0, len(texts), batch)]
-    seen = np.zeros((2, FEATURES))
-    for p, s in enumerate(parts):
+    seen = np.zeros((2, FEATURES), np.int32)
+    for at in range(0, len(texts), batch):
+        s = sentences(texts[at : at + batch])
         owner = np.repeat(s.text, np.diff(np.append(s.begin, len(s.features))))
         pairs = np.unique(s.features.astype(np.int64) + FEATURES * owner[:, None])
-        np.add.at(seen, (y[p * batch + pairs // FEATURES].astype(int), pairs % FEATURES), 1)
-    n = np.asarray([(1 - y).sum(), y.sum()])
+        np.add.at(seen, (y[at + pairs // FEATURES].astype(int), pairs % FEATURES), 1)
+    n, often = np.asarray([(1 - y).sum(), y.sum()]), np.flatnonzero(seen.sum(axis=0) >= LEAST_DOCUMENTS)
+    seen = seen[:, often]
     share = seen.sum(axis=0) / n.sum()
     deviation = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n).sum())
-    used = (seen.sum(axis=0) >= LEAST_DOCUMENTS) & (deviation >= LEAST_DEVIATION)
+    used = np.zeros(FEATURES, bool)
+    used[often[deviation >= LEAST_DEVIATION]] = True
+    parts = []  # of each batch: the document of each sentence, and sentence and feature of each use
+    for at in range(0, len(texts), batch):
+        s = sentences(texts[at : at + batch])
+        word, kind = np.nonzero(used[s.features])
+        parts.append((s.text, np.searchsorted(s.begin, word, side="right") - 1, s.features[word, kind]))
     squares, bias_square = np.full(FEATURES, 1e-4, np.float32), 1e-4
     steps = [p for _ in range(epochs) for p in rng.permutation(len(parts))]
     for step, p in enumerate(steps):
         pace = rate * (1 - step / len(steps))
-        s, own = parts[p], y[p * batch : (p + 1) * batch]
-        z = model.logits(s)
-        total = np.bincount(s.text, weights=np.logaddexp(0, z), minlength=len(own)) + 1e-9
+        (text, sentence, feature), own = parts[p], y[p * batch : (p + 1) * batch]
+        z = model.bias + np.bincount(sentence, weights=model.weights[feature], minlength=len(text))
+        total = np.bincount(text, weights=np.logaddexp(0, z), minlength=len(own)) + 1e-9
         outer = (1 - own) - weight * own / np.expm1(np.minimum(total, 50))
-        by_sentence = outer[s.text] / (1 + np.exp(-np.maximum(z, -30))) / len(own)
-        by_word = np.repeat(by_sentence, np.diff(np.append(s.begin, len(s.features))))
-        word, kind = np.nonzero(used[s.features])
-        at, inverse = np.unique(s.features[word, kind], return_inverse=True)
-        gradient = np.bincount(inverse, weights=by_word[word], minlength=len(at)) + decay * model.weights[at] / len(own)
+        by_sentence = outer[text] / (1 + np.exp(-np.maximum(z, -30))) / len(own)
+        at, inverse = np.unique(feature, return_inverse=True)
+        gradient = np.bincount(inverse, weights=by_sentence[sentence], minlength=len(at)) + decay * model.weights[at] / len(own)
         squares[at] = 0.95 * squares[at] + 0.05 * gradient**2
         model.weights[at] = np.maximum(model.weights[at] - pace * gradient / np.sqrt(squares[at]), 0)
         slope = by_sentence.sum()
@@ -188,6 +193,7 @@ def _scored(batches: Iterator[pa.RecordBatch], *, model: Model, column: str) ->
         score = -np.expm1(-total)
         names = [n for n in batch.schema.names if n != column]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], names=[*names, "score"])
+    common.release_memory()
 
 
 def score(documents: DataFrame, model: Model, *columns: str) -> DataFrame:
