@@ -28,8 +28,8 @@ NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-įı-ȹȻ-Ƚȿ-ɏ]")
 #: Fixed value: how byte-level BPE cuts a text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Runs kept, in two generations of this size each, besides as many words, and the longest kept: about 50 MB.
-CACHE_UNITS = 80_000
+#: Runs kept, in two generations of this size each, besides as many words, and the longest kept: about 90 MB.
+CACHE_UNITS = 160_000
 LONGEST_UNIT = 48
 
 #: Fixed value: the words of the "word" vocabularies, for lower-cased plain texts.
