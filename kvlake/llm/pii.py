@@ -33,18 +33,28 @@ _BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}"
 SECRET_LABEL = r"""(?i:token|secret|password|passwd|api_key|api-key|apikey)["']?\s{0,2}[=:]\s{0,2}["']?"""
 SECRET = SECRET_LABEL + r"(?=[A-Za-z_+/-]{0,256}[0-9])[0-9A-Za-z_+/-]{16,256}"
-IBAN = _BEFORE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER
+#: The longest that can be an IBAN, or a card below. Whether one is, and up to where, the check sum tells: see _checked.
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER
+#: Characters of an IBAN by country, from the registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_OF_ITS_COUNTRY = "^(?:" + "|".join(f"(?:{'|'.join(countries.split())})(?: ?[A-Z0-9]){{{n - 2}}}" for n, countries in IBAN_LENGTHS.items()) + ")$"
 IP = r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[\p{L}\p{N}])"
 DATE = r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![./-]?[\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])"
 _NANP = r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
 _ABROAD = r"(?!1[ .(-])[0-9]{1,3}(?:[ .-]?(?!(?:[0-9]{1,3}\.){3}[0-9])\(?[0-9]{1,4}\)?){2,5}"
 PHONE = rf"(?:(?<![\p{{L}}\p{{N}}+])\+(?:1[ .-]?{_NANP}|{_ABROAD})|(?<![\p{{L}}\p{{N}}(+-])(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}})(?![\p{{L}}\p{{N}}])"
-CARD = _BEFORE + r"(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19})" + _AFTER
-#: Numbers are looked for only where one can begin, e-mail addresses only in texts with an at sign.
-NUMBERS = "(?=[0-9A-Z+(])(?:" + "|".join(f"(?:{p})" for p in (IBAN, IP, DATE, SSN, PHONE, CARD)) + ")"
-WITHOUT_EMAIL = f"(?:{SECRET})|{NUMBERS}"
-ANY = f"(?:{EMAIL})|{WITHOUT_EMAIL}"
+CARD = r"(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19})" + _AFTER
+#: Numbers are looked for only where one can begin, e-mail addresses only in texts with an at sign. IBANs and cards are
+#: what _checked finds in a text.
+NUMBERS = "(?=[0-9+(])(?:" + "|".join(f"(?:{p})" for p in (IP, DATE, SSN, PHONE)) + ")"
+#: For texts without IBANs and cards, which otherwise come before and behind the numbers.
+WITHOUT_EMAIL = f"{SECRET}|{NUMBERS}"
+WITH_EMAIL = f"{EMAIL}|{WITHOUT_EMAIL}"
 #: Every value has one of these characters.
 HINT = "[0-9@]"
 
@@ -200,6 +210,23 @@ def _iban(m: Column, key: str) -> tuple[Column, Column]:
     return valid, _filled(m, F.concat(check, _digits(new_body)))
 
 
+def _checked(text: Column, begins: str, longest: str, check: Callable[[Column, str], tuple[Column, Column]], least: int, preferred: str) -> Column:
+    """The values of text that satisfy a check sum, each once, longer ones before their beginnings; null if there is none.
+    Candidates begin at any token and may overlap: what fails hides nothing behind it. Of each that part is taken which is
+    as preferred, or else the longest that ends with a token."""
+    found = F.regexp_extract_all(text, F.lit(f"(?={begins}){_BEFORE}(?=({longest}))."), F.lit(1))
+
+    def part(m: Column) -> Column:
+        last = lambda n: (n == F.length(m)) | F.substring(m, n, F.lit(2)).rlike("^[^ -][ -]$")
+        ends = F.filter(F.sequence(F.length(m), F.lit(least), F.lit(-1)), last)
+        parts = F.filter(F.transform(ends, lambda n: F.substring(m, F.lit(1), n)), lambda x: check(x, "")[0])
+        return F.coalesce(F.get(F.filter(parts, lambda x: x.rlike(preferred)), F.lit(0)), F.get(parts, F.lit(0)))
+
+    values = F.sort_array(F.array_distinct(F.filter(F.transform(found, part), lambda x: x.isNotNull())), asc=False)
+    as_pattern = lambda x: F.when(F.size(x) > 0, F.concat(F.lit(f"(?={begins}){_BEFORE}(?:"), F.array_join(x, "|"), F.lit(f"){_AFTER}")))
+    return F.when(text.rlike(begins), F.transform(F.array(values), as_pattern)[0])
+
+
 def _ip(m: Column, key: str) -> tuple[Column, Column]:
     parts = F.transform(F.split(m, r"\."), lambda p: p.cast("int"))
     number = F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p)
@@ -278,12 +305,22 @@ def pseudonymised(documents: DataFrame, *, key: str = KEY, text_col: str = "text
     """documents with pseudonyms in text_col and, behind it, n_private (values replaced) and private_kinds (of each)."""
     text = F.col(f"`{text_col}`")
     rest = [F.col(f"`{c}`") for c in documents.columns if c not in ("n_private", "private_kinds")]
-    at_found, at_made = common.unused(documents, "_found"), common.unused(documents, "_made")
+    at_pattern, at_found, at_made = (common.unused(documents, c) for c in ("_pattern", "_found", "_made"))
     with_email = F.contains(text, F.lit("@"))
-    found = F.when(with_email, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(WITHOUT_EMAIL), F.lit(0)))
-    rows = documents.select(*rest, found.alias(at_found))
-    rows = rows.select(*rest, F.when(F.size(at_found) > 0, F.transform(at_found, lambda m: _treated(m, key))).alias(at_made))
-    parts = F.when(with_email, F.split(text, ANY, -1)).otherwise(F.split(text, WITHOUT_EMAIL, -1))
+    at_ibans, at_cards = (common.unused(documents, c) for c in ("_ibans", "_cards"))
+    ibans = _checked(text, "[A-Z]{2}[0-9]{2}[A-Z0-9 ]", IBAN, _iban, 12, _OF_ITS_COUNTRY)
+    cards = _checked(text, "[0-9]{4}[0-9 -]", CARD, _card, 13, "^.*$")
+    rows = documents.select(*rest, ibans.alias(at_ibans), cards.alias(at_cards))
+    own = F.concat_ws("|", F.when(with_email, F.lit(EMAIL)), F.lit(SECRET), F.col(at_ibans), F.lit(NUMBERS), F.col(at_cards))
+    rows = rows.select(*rest, F.when(F.coalesce(at_ibans, at_cards).isNotNull(), own).alias(at_pattern))
+    pattern = F.col(at_pattern)
+
+    def by_kind(take: Callable[[Column], Column]) -> Column:
+        return F.when(pattern.isNotNull(), take(pattern)).when(with_email, take(F.lit(WITH_EMAIL))).when(text.rlike(HINT), take(F.lit(WITHOUT_EMAIL)))
+
+    rows = rows.select(*rest, at_pattern, by_kind(lambda p: F.regexp_extract_all(text, p, F.lit(0))).alias(at_found))
+    rows = rows.select(*rest, at_pattern, F.when(F.size(at_found) > 0, F.transform(at_found, lambda m: _treated(m, key))).alias(at_made))
+    parts = by_kind(lambda p: F.split(text, p, -1))
     joined = F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size(at_made)), at_made, lambda p, m: F.concat(p, m["new"])), ""), F.element_at(parts, -1))
     kinds = F.filter(F.transform(at_made, lambda m: m["kind"]), lambda k: k.isNotNull())
     new_text = F.when(F.col(at_made).isNotNull(), joined).otherwise(text)
