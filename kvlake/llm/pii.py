@@ -2,8 +2,9 @@
 
 Found are e-mail addresses, payment cards (13 to 19 digits that satisfy Luhn's check), IBANs (mod 97), phone numbers,
 United States social security numbers (of areas and groups that are issued), IPv4 addresses, dates of two centuries
-that exist, and credentials behind token, secret, password or key and an equals sign or colon. What doesn't validate
-stays. A value becomes one of the same format: digits give digits in their places, separators stay, check digits hold, a
+that exist, and credentials behind a name that ends in token, secret, password, passwd or key and an equals sign or
+colon: at least 16 letters, digits and signs of tokens with a digit among them, of any length, or 8 characters with a
+digit of a password. What doesn't validate stays. A value becomes one of the same format: digits give digits in their places, separators stay, check digits hold, a
 date gives a date, letters give letters of their case. The permutation is one to one within a format and depends on the
 key and the value alone, so that equal values stay linked across documents, however they are separated, and different
 ones stay apart.
@@ -31,8 +32,16 @@ KEY = "kvlake-example-key"
 
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}"
-SECRET_LABEL = r"""(?i:token|secret|password|passwd|api_key|api-key|apikey)["']?\s{0,2}[=:]\s{0,2}["']?"""
-SECRET = SECRET_LABEL + r"(?=[A-Za-z_+/-]{0,256}[0-9])[0-9A-Za-z_+/-]{16,256}"
+_LABELLED = r"""["']?\s{0,2}[=:]{1,2}+>?\s{0,2}["']?"""
+SECRET_LABEL = r"(?i:token|secret|password|passwd|key)" + _LABELLED
+PASSWORD_LABEL = r"(?i:password|passwd)" + _LABELLED
+#: A digit and 16 characters of these kinds, dots aside, which may be between others. Of a password, a digit and 8 characters
+#: up to a blank, quote, comma or semicolon. Of any length: what is possessive is matched in a loop.
+_KEYLIKE = "[0-9A-Za-z_+/=~-]"
+SECRET = (
+    rf"(?:{PASSWORD_LABEL}(?=[^\s0-9\"',;]*+[0-9])(?=[^\s\"',;]{{8}})(?:[^\s\"',;.!?)]++|[.!?)]++(?=[^\s\"',;.!?)]))++"
+    rf"|{SECRET_LABEL}(?=[A-Za-z_+/=~.-]*+[0-9])(?=(?:\.*+{_KEYLIKE}){{16}}){_KEYLIKE}++(?:\.++{_KEYLIKE}++)*+)"
+)
 #: The longest that can be an IBAN, or a card below. Whether one is, and up to where, the check sum tells: see _checked.
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER
 #: Characters of an IBAN by country, from the registry.
@@ -117,12 +126,15 @@ def permuted_digits(x: Column, key: str, tag: str) -> Column:
 def _shifted(half: Column, other: Column, i: Column, key: str, tag: str) -> Column:
     """half with each character moved within its kind by a keyed hash of other and its place."""
 
-    def moved(c: Column, j: Column) -> Column:
+    # Of a long one a hash, made once, so that the work grows with the length alone.
+    short = F.when(F.length(other) > 128, F.sha2(other, 256)).otherwise(other)
+
+    def moved(c: Column, j: Column, other: Column) -> Column:
         by = _keyed(key, tag, i, j, other)
         place = lambda first, n: F.char((F.ascii(c) - first + by) % n + first)
         return F.when(c.rlike("[0-9]"), place(48, 10)).when(c.rlike("[a-z]"), place(97, 26)).when(c.rlike("[A-Z]"), place(65, 26)).otherwise(c)
 
-    return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.split(half, ""), moved), ""))
+    return F.when(F.length(half) == 0, half).otherwise(F.transform(F.array(short), lambda other: F.array_join(F.transform(F.split(half, ""), lambda c, j: moved(c, j, other)), ""))[0])
 
 
 def permuted_text(x: Column, key: str, tag: str) -> Column:
@@ -149,8 +161,8 @@ def permuted_hex(x: Column, key: str, tag: str) -> Column:
 
     def moved(half: Column, other: Column, i: Column) -> Column:
         stream = F.concat(*(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), i.cast("string"), F.lit(str(k)), other, F.lit(key)), 256) for k in range(2)))
-        one = lambda c, j: F.substring(digits, ((F.instr(digits, c) + F.instr(digits, F.substring(stream, (j % 128 + 1).cast("int"), F.lit(1))) - 2) % 16 + 1).cast("int"), F.lit(1))
-        return F.array_join(F.transform(F.split(half, ""), one), "")
+        one = lambda c, j, stream: F.substring(digits, ((F.instr(digits, c) + F.instr(digits, F.substring(stream, (j % 128 + 1).cast("int"), F.lit(1))) - 2) % 16 + 1).cast("int"), F.lit(1))
+        return F.transform(F.array(stream), lambda made: F.array_join(F.transform(F.split(half, ""), lambda c, j: one(c, j, made)), ""))[0]
 
     def step(acc: Column, i: Column) -> Column:
         even = i % 2 == 0

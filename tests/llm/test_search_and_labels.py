@@ -149,6 +149,24 @@ def test_ibans_end_where_they_do(spark, docs):
     assert same[0].text[:20] == same[1].text.replace(" ", "")[:20]
 
 
+def test_whole_credentials(spark, docs):
+    rnd = random.Random(7)
+    some = lambda n, letters="abcdefghijABCDEFGHIJ0123456789": "".join(rnd.choice(letters) for _ in range(n))
+    values = [some(400), some(400, "0123456789abcdef"), some(300, "abcdef") + some(100, "0123456789"), some(60_000), f"eyJhbGciOiJIUzI1NiJ9.{some(90)}.{some(43)}", some(40) + "==", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    cases = [("token = ", v) for v in values] + [(f"{name}{sep}", values[-1]) for name in ("aws_secret_access_key", "secret_key", "private_key", "privateKey", "X-API-Key", "key") for sep in (" = ", ": ", "=", '": "', " => ")]
+    cases += [("password: ", "Tr0ub4dor&3"), ("passwd=", "p4ss.w(rd!xyz"), ("password: ", "abcdefghij0123456789")]
+    made = {r.doc_id: r for r in pii.pseudonymised(docs([(i, f"So {a}{v}. Then") for i, (a, v) in enumerate(cases)])).collect()}
+    for i, (label, old) in enumerate(cases):
+        r, at = made[i], len(f"So {label}")
+        new = r.text[at:-6]
+        assert r.private_kinds == ["secret"] and r.text[:at] == f"So {label}" and r.text[-6:] == ". Then" and len(new) == len(old), old[:50]
+        # A letter or digit stays by chance only: no long part of the value is left.
+        for k in range(0, min(len(old), 2000) - 7):
+            assert old[k : k + 8] != new[k : k + 8], (old[:50], k)
+    left = ["token = short1", "password: abc1", "password: without any digit", "key: abc def 1"]
+    assert all(r.n_private == 0 for r in pii.pseudonymised(docs(list(enumerate(left)))).collect())
+
+
 def test_links_across_documents(spark, docs):
     a, b = "card 4111 1111 1111 1111", "4111111111111111 and 4111111111111111, 4242424242424242"
     x, y = (r.text for r in pii.pseudonymised(docs([(1, a), (2, b)])).orderBy("doc_id").collect())
