@@ -5,7 +5,7 @@ United States social security numbers (of areas and groups that are issued), IPv
 that exist, and credentials behind a name that ends in token, secret, password, passwd or key and an equals sign or
 colon: at least 16 letters, digits and signs of tokens with a digit among them, of any length, or 8 characters with a
 digit of a password. What doesn't validate stays. A value becomes one of the same format: digits give digits in their places, separators stay, check digits hold, a
-date gives a date, letters give letters of their case. The permutation is one to one within a format and depends on the
+date gives a date, letters give letters of their case and alphabet; accented Latin ones stay beside as many of ASCII. The permutation is one to one within a format and depends on the
 key and the value alone, so that equal values stay linked across documents, however they are separated, and different
 ones stay apart.
 
@@ -19,6 +19,9 @@ null ids and extra columns are carried.
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,31 +126,78 @@ def permuted_digits(x: Column, key: str, tag: str) -> Column:
     return F.when(n < 2, x).otherwise(F.concat(_padded(end["high"], left), _padded(end["low"], n - left)))
 
 
-def _shifted(half: Column, other: Column, i: Column, key: str, tag: str) -> Column:
+#: Where accented Latin letters begin and end: they move among themselves.
+_LATIN = ((0xC0, 0x24F), (0x1E00, 0x1EFF))
+_ACCENTED = "[\\u00C0-\\u024F\\u1E00-\\u1EFF]"
+
+
+@functools.cache
+def _alphabets() -> tuple[str, str, str]:
+    """Letters and numbers beyond ASCII: as SQL the runs of those of a kind (small, capital, other, digit ...), with first
+    and last code point and a step of 2 where small and capital letters take turns; and as strings the letters without
+    neighbours, accented Latin ones and others."""
+    kinds: dict[tuple[str, int], list[int]] = {}
+    for c in range(128, sys.maxunicode + 1):
+        if (kind := unicodedata.category(chr(c)))[0] in "LN":
+            block = next((i for i, (first, last) in enumerate(_LATIN) if first <= c <= last), -1)
+            kinds.setdefault((kind, block), []).append(c)
+    runs, alone = [], {True: "", False: ""}
+    for (_, block), points in kinds.items():
+        at = 0
+        while at < len(points):
+            step, end = points[at + 1] - points[at] if at + 1 < len(points) else 0, at
+            while step in (1, 2) and end + 1 < len(points) and points[end + 1] - points[end] == step:
+                end += 1
+            if end > at:
+                runs.append((points[at], points[end], step))
+            else:
+                alone[block >= 0] += chr(points[at])
+            at = end + 1
+    return f"arrays_zip({', '.join(f'array({", ".join(map(str, x))})' for x in zip(*runs, strict=True))})", alone[True], alone[False]
+
+
+def _moved_beyond_ascii(c: Column, by: Column) -> Column:
+    sql, *alone = _alphabets()
+    at = F.ascii(c)
+    run = F.filter(F.expr(sql), lambda r: at.between(r["0"], r["1"]) & ((at - r["0"]) % r["2"] == 0))
+    place = lambda r: r["0"] + (F.floor((at - r["0"]) / r["2"]) + by) % (F.floor((r["1"] - r["0"]) / r["2"]) + 1) * r["2"]
+    char = lambda r: F.decode(F.unhex(F.lpad(F.hex(place(r)), 8, "0")), "UTF-32")
+    out = F.get(F.transform(run, char), F.lit(0))
+    for letters in alone:
+        i = F.instr(F.lit(letters), c)
+        out = F.coalesce(out, F.when(i > 0, F.substring(F.lit(letters), ((i - 1 + by) % len(letters) + 1).cast("int"), F.lit(1))))
+    return F.coalesce(out, c)
+
+
+def _shifted(half: Column, other: Column, i: Column, accents_stay: Column, key: str, tag: str) -> Column:
     """half with each character moved within its kind by a keyed hash of other and its place."""
 
     # Of a long one a hash, made once, so that the work grows with the length alone.
     short = F.when(F.length(other) > 128, F.sha2(other, 256)).otherwise(other)
 
-    def moved(c: Column, j: Column, other: Column) -> Column:
+    def moved(c: Column, j: Column, other: Column, stay: Column) -> Column:
         by = _keyed(key, tag, i, j, other)
         place = lambda first, n: F.char((F.ascii(c) - first + by) % n + first)
-        return F.when(c.rlike("[0-9]"), place(48, 10)).when(c.rlike("[a-z]"), place(97, 26)).when(c.rlike("[A-Z]"), place(65, 26)).otherwise(c)
+        return F.when(c.rlike("[0-9]"), place(48, 10)).when(c.rlike("[a-z]"), place(97, 26)).when(c.rlike("[A-Z]"), place(65, 26)).when((F.ascii(c) < 128) | stay & c.rlike(_ACCENTED), c).otherwise(_moved_beyond_ascii(c, by))
 
-    return F.when(F.length(half) == 0, half).otherwise(F.transform(F.array(short), lambda other: F.array_join(F.transform(F.split(half, ""), lambda c, j: moved(c, j, other)), ""))[0])
+    return F.when(F.length(half) == 0, half).otherwise(F.transform(F.array(F.struct(short.alias("other"), accents_stay.alias("stay"))), lambda x: F.array_join(F.transform(F.split(half, ""), lambda c, j: moved(c, j, x["other"], x["stay"])), ""))[0])
 
 
 def permuted_text(x: Column, key: str, tag: str) -> Column:
-    """A permutation of strings that keeps the kind of each character: digit, small or capital letter, or itself."""
+    """A permutation of strings that keeps the kind of each character: digit, small or capital letter, letter of an
+    alphabet, or itself. Accented Latin letters stay where no fewer letters and digits of ASCII are beside letters
+    beyond it, which is the same for all strings that map to each other."""
+    beyond = F.regexp_replace(x, r"[^\p{L}\p{N}]|[0-9A-Za-z]", "")
+    ascii_kept = F.length(F.regexp_replace(x, "[^0-9A-Za-z]", "")) >= F.length(beyond)
     left = F.floor(F.length(x) / 2).cast("int")
 
     def step(acc: Column, i: Column) -> Column:
         even = i % 2 == 0
-        low = _shifted(acc["low"], acc["high"], i, key, tag)
-        high = _shifted(acc["high"], acc["low"], i, key, tag)
-        return F.struct(F.when(even, acc["high"]).otherwise(high).alias("high"), F.when(even, low).otherwise(acc["low"]).alias("low"))
+        low = _shifted(acc["low"], acc["high"], i, acc["stay"], key, tag)
+        high = _shifted(acc["high"], acc["low"], i, acc["stay"], key, tag)
+        return F.struct(F.when(even, acc["high"]).otherwise(high).alias("high"), F.when(even, low).otherwise(acc["low"]).alias("low"), acc["stay"].alias("stay"))
 
-    start = F.struct(F.substring(x, F.lit(1), left).alias("high"), F.substring(x, left + 1, F.length(x) - left).alias("low"))
+    start = F.struct(F.substring(x, F.lit(1), left).alias("high"), F.substring(x, left + 1, F.length(x) - left).alias("low"), ascii_kept.alias("stay"))
     end = _rounds(start, step)
     return F.concat(end["high"], end["low"])
 
@@ -282,7 +332,7 @@ def _phone(m: Column, key: str) -> tuple[Column, Column]:
 
 def _email(m: Column, key: str) -> tuple[Column, Column]:
     at = F.instr(m, "@")
-    return F.lit(True), F.concat(permuted_text(F.substring(m, F.lit(1), at - 1), key, "email"), F.substring(m, at, F.length(m)))
+    return m.rlike(r"^[^@]*[\p{L}\p{N}][^@]*@"), F.concat(permuted_text(F.substring(m, F.lit(1), at - 1), key, "email"), F.substring(m, at, F.length(m)))
 
 
 def _secret(m: Column, key: str) -> tuple[Column, Column]:

@@ -167,6 +167,24 @@ def test_whole_credentials(spark, docs):
     assert all(r.n_private == 0 for r in pii.pseudonymised(docs(list(enumerate(left)))).collect())
 
 
+def test_addresses_in_any_alphabet(spark, docs):
+    import unicodedata
+
+    names = ["иван", "Иван.Петров", "νίκος", "محمد", "山田太郎", "김철수", "דוד", "éèêë", "ß", "ოთარ", "иван.1", "李1", "٣٤٥", "łéñ.é"]
+    made = {r.doc_id: r for r in pii.pseudonymised(docs([(i, f"To {n}@x.com, {n}@y.org.") for i, n in enumerate(names)] + [(99, "To +.-@x.com.")])).collect()}
+    kept = 0
+    for i, name in enumerate(names):
+        new = re.findall(r"[ ](\S+)@", made[i].text)
+        assert new[0] == new[1] != name and made[i].private_kinds == ["email"] * 2 and len(new[0]) == len(name), name
+        assert [unicodedata.category(c) for c in new[0]] == [unicodedata.category(c) for c in name], name
+        kept += sum(a == b for a, b in zip(new[0], name, strict=True) if b not in ".1")
+    assert kept * 8 <= sum(map(len, names))  # by chance only
+    assert made[99].n_private == 0 and made[99].text == "To +.-@x.com."
+    letters = [chr(c) for c in [*range(0xC0, 0x180), *range(0x400, 0x460)] if chr(c).isalpha()]
+    pairs = spark.createDataFrame([(a + b,) for a in letters[:60] for b in letters], "x string")
+    assert pairs.select(pii.permuted_text(F.col("x"), "k", "t").alias("p")).agg(F.countDistinct("p")).first()[0] == pairs.count()
+
+
 def test_links_across_documents(spark, docs):
     a, b = "card 4111 1111 1111 1111", "4111111111111111 and 4111111111111111, 4242424242424242"
     x, y = (r.text for r in pii.pseudonymised(docs([(1, a), (2, b)])).orderBy("doc_id").collect())
