@@ -1,6 +1,7 @@
 """Private data as format-preserving pseudonyms: keyed Feistel permutations within each value's format.
 
-Found are e-mail addresses, payment cards (13 to 19 digits that satisfy Luhn's check), IBANs (mod 97), phone numbers,
+Found are e-mail addresses, payment cards (Luhn's check; 13 to 19 digits in one, or in groups of 4
+with a shorter last one, 4-6-5, 4-6-4 or 4-3-3-3), IBANs (mod 97), phone numbers,
 United States social security numbers (of areas and groups that are issued), IPv4 addresses, dates of two centuries
 that exist, and credentials behind a name that ends in token, secret, password, passwd or key and an equals sign or
 colon: at least 16 letters, digits and signs of tokens with a digit among them, of any length, or 8 characters with a
@@ -55,12 +56,12 @@ IBAN_LENGTHS = {
 }
 _OF_ITS_COUNTRY = "^(?:" + "|".join(f"(?:{'|'.join(countries.split())})(?: ?[A-Z0-9]){{{n - 2}}}" for n, countries in IBAN_LENGTHS.items()) + ")$"
 IP = r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[\p{L}\p{N}])"
-DATE = r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![./-]?[\p{L}\p{N}])"
+DATE = r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?:(?=T[0-9]{2}:?[0-9]{2})|(?![./-]?[\p{L}\p{N}]))"
 SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])"
 _NANP = r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
 _ABROAD = r"(?!1[ .(-])[0-9]{1,3}(?:[ .-]?(?!(?:[0-9]{1,3}\.){3}[0-9])\(?[0-9]{1,4}\)?){2,5}"
 PHONE = rf"(?:(?<![\p{{L}}\p{{N}}+])\+(?:1[ .-]?{_NANP}|{_ABROAD})|(?<![\p{{L}}\p{{N}}(+-])(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}})(?![\p{{L}}\p{{N}}])"
-CARD = r"(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19})" + _AFTER
+CARD = r"(?:[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{1,3}(?![0-9]))?|[0-9]{4}(?:-[0-9]{4}){3}(?:-[0-9]{1,3}(?![0-9]))?|[3-6][0-9]{3}(?:(?: [0-9]{4}){2} [0-9]{1,3}|(?:-[0-9]{4}){2}-[0-9]{1,3}|(?: [0-9]{3}){3}|(?:-[0-9]{3}){3})|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5}|[0-9]{13,19})" + _AFTER
 #: Numbers are looked for only where one can begin, e-mail addresses only in texts with an at sign. IBANs and cards are
 #: what _checked finds in a text.
 NUMBERS = "(?=[0-9+(])(?:" + "|".join(f"(?:{p})" for p in (IP, DATE, SSN, PHONE)) + ")"
@@ -322,8 +323,12 @@ def _ssn(m: Column, key: str) -> tuple[Column, Column]:
     return valid, F.concat_ws("-", _padded(new_area, 3), _padded(new_group, 2), _padded(new_serial, 4))
 
 
+#: Calling codes of countries, of which those of three digits are what the others leave.
+_CALLING = "(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def _phone(m: Column, key: str) -> tuple[Column, Column]:
-    country = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])|^\+", 0)
+    country = F.regexp_extract(m, rf"^\+[0-9]{{1,3}}(?=[^0-9])|^\+{_CALLING}(?=(?:[^0-9]*[0-9]){{7}})|^\+", 0)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
     d = _digits(rest)
     # Numbers abroad have groups of any size: what directly follows one may be taken as part of it, rather than leave both.

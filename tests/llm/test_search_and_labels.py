@@ -185,6 +185,23 @@ def test_addresses_in_any_alphabet(spark, docs):
     assert pairs.select(pii.permuted_text(F.col("x"), "k", "t").alias("p")).agg(F.countDistinct("p")).first()[0] == pairs.count()
 
 
+def test_other_groupings(spark, docs):
+    cards = ["3056 930902 5904", "3056-930902-5904", "6304 0000 0000 0000 000", "4222 222 222 222", "4222-2222-2222-2", "4111 1111 1111 1111"]
+    linked = [("+12125550100", "+1 212 555 0100"), ("+442079460958", "+44 20 7946 0958"), ("+353861234567", "+353 86 123 4567")]
+    dates = ["2024-02-29T10:00:00", "2024-02-29T1000Z", "2024-02-29"]
+    rows = [*cards, "4111 1111 1111 1111 124", *dates, *(x for pair in linked for x in pair)]
+    made = [(r.text[3:-1], r.private_kinds) for r in pii.pseudonymised(docs([(i, f"On {t}.") for i, t in enumerate(rows)])).orderBy("doc_id").collect()]
+    for old, (new, kinds) in zip(rows[: len(cards)], made, strict=False):
+        assert kinds == ["card"] and luhn(new) and new != old and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", old), old
+    assert made[len(cards)] == (made[len(cards) - 1][0] + " 124", ["card"])
+    a, b, c = made[len(cards) + 1 : len(cards) + 4]
+    assert a[1] == ["date"] and c[0] != dates[2] and a[0] == c[0] + "T10:00:00" and b[0] == c[0] + "T1000Z"
+    phones = [re.sub(r"\D", "", new) for new, _ in made[len(cards) + 4 :]]
+    assert phones[::2] == phones[1::2] and all(x != re.sub(r"\D", "", pair[0]) for x, pair in zip(phones[::2], linked, strict=True))
+    short = pii.pseudonymised(docs([(1, "call +35312345")])).first()
+    assert short.private_kinds == ["phone"]
+
+
 def test_links_across_documents(spark, docs):
     a, b = "card 4111 1111 1111 1111", "4111111111111111 and 4111111111111111, 4242424242424242"
     x, y = (r.text for r in pii.pseudonymised(docs([(1, a), (2, b)])).orderBy("doc_id").collect())
