@@ -101,8 +101,10 @@ def verdicts(documents: DataFrame, index: DigestIndex | None = None) -> DataFram
     fresh = common.written(index.unseen(groups).withColumn("fresh", F.lit(True)), "digests-new")
     index.append(fresh.repartition(index.buckets, "digest"))
 
-    known = index.table().join(fresh.select("digest", "fresh"), "digest", "left")
-    found = common.join_salted(seen, known, "digest", F.col("group_size"), seen.count(), F.col("doc_id")).select(
+    # Of the index only the batch's digests, and hot are those with many rows in the batch.
+    sizes = groups.select("digest", F.col("group_size").alias("in_batch")).repartition(index.buckets, "digest")
+    known = index.table().join(sizes.hint("merge"), "digest").join(fresh.select("digest", "fresh"), "digest", "left")
+    found = common.join_salted(seen, known, "digest", F.col("in_batch"), seen.count(), F.col("doc_id")).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.coalesce(F.col("fresh"), F.lit(False))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
     if own:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kvlake.llm import exact_dedup, minhash, substring_dedup
+from kvlake.llm import common, exact_dedup, minhash, substring_dedup
 
 from .conftest import ODD
 
@@ -190,3 +190,18 @@ def test_index_grows(spark, docs):
     plan = index.unseen(index.table().limit(3))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
     index.drop()
+
+
+def test_small_batches_on_a_large_index(spark, docs, monkeypatch):
+    index, salted = exact_dedup.DigestIndex(spark, buckets=3), []
+
+    def watched(rows, sized, key, size, total, by, join=common.join_salted):
+        salted.append((sized.count(), sized.where(size * common.HOT_SHARE > total).count()))
+        return join(rows, sized, key, size, total, by)
+
+    monkeypatch.setattr(common, "join_salted", watched)
+    assert exact_dedup.verdicts(docs([(i, f"text {i % 1500}") for i in range(3000)]), index).where("kept").count() == 1500
+    found = exact_dedup.verdicts(docs([(9001, "text 7"), (9002, "new"), (9003, "new")]), index).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == [(9001, 1507, 2, False), (9002, 9003, 2, False), (9003, 9003, 2, True)]
+    assert salted == [(1500, 0), (2, 2)]
+    index.drop()
