@@ -6,7 +6,8 @@ identity, and for each threshold the function that counts pieces above capacity
 those below it). A group whose sequences equal its bound is certified and passes on only its emptiest sequence; a group
 with a gap passes on every sequence that isn't full. What was passed on is dealt out again, whole sequences at a time, to
 fewer groups, so that documents of different groups meet; there best-fit decreasing runs again, and its result replaces
-the old sequences only where it has fewer of them. Rounds end when nothing was saved or one group is left.
+the old sequences only where it has fewer of them. Groups stay small enough for a worker (MOST_PIECES). Rounds end when
+nothing was saved, one group is left or ROUNDS are over.
 
 Defined cases: a null text is empty and is the end id alone; documents that repeat a doc_id are pieces of their own, told
 apart by an order of their texts' hashes; an empty table gives no rows.
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from . import bpe, common
 
 CAPACITY = 2048
-#: Pieces in a group, the factor by which groups get fewer from round to round, and the most rounds.
+#: Pieces in a group at first and, on average, at most; the factor by which groups get fewer from round to round; the most
+#: rounds.
 GROUP_PIECES = 20_000
+MOST_PIECES = 200_000
 FEWER = 16
 ROUNDS = 6
 #: Stands for a null doc_id while pieces are packed.
@@ -135,8 +138,9 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
         final = kept if final is None else final.unionByName(kept)
         if over:
             break
-        groups = max(1, min(groups // FEWER, -(-last[0] // GROUP_PIECES)))
-        open_rows = placed.where("passed_on").drop("passed_on", "saved").withColumn("group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
+        # Where most is passed on, groups don't get fewer for ever: they must fit a worker, and each round deals anew.
+        groups = max(-(-last[0] // MOST_PIECES), min(groups // FEWER, -(-last[0] // GROUP_PIECES)), 1)
+        open_rows = placed.where("passed_on").drop("passed_on", "saved").withColumn("group", F.pmod(F.xxhash64("sequence_id", F.lit(number)), F.lit(groups)))
     return final.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))).drop("passed_on", "saved")
 
 

@@ -198,5 +198,23 @@ def test_op6(spark, sf_dir, monkeypatch):
     assert all(sum(r.length for r in several if r.sequence_id == s) <= 2048 for s in {r.sequence_id for r in several})
 
 
+def test_groups_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 20)
+    monkeypatch.setattr(packing, "MOST_PIECES", 50)
+    # Two fit, three don't, which no bound proves: all is passed on.
+    pieces = common.written(spark.createDataFrame([(i, i, 0, 0, 700 + i % 5, i) for i in range(400)], packing.PIECE), "test-pieces")
+    frame, sizes = type(pieces), []
+
+    def watched(df, *cols, group_by=frame.groupBy):
+        if cols == ("group",):
+            sizes.append([r["count"] for r in group_by(df, "group").count().collect()])
+        return group_by(df, *cols)
+
+    monkeypatch.setattr(frame, "groupBy", watched)
+    found = packing.pack(pieces).collect()
+    assert sorted(r.doc_id for r in found) == list(range(400)) and 200 <= len({r.sequence_id for r in found}) <= 210
+    assert len(sizes) > 1 and sum(sizes[1]) > 100 and max(map(max, sizes)) <= 2 * 50
+
+
 def test_packing_without_rows(spark, sf_dir):
     assert packing.op6_packing(spark, sf_dir([])).count() == 0
