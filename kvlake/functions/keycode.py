@@ -8,16 +8,17 @@
   STRUCT           its fields one after another
   ARRAY            its elements one after another, decodable in the last place only
 
-Everything but DOUBLE is built-in expressions; Spark has none for a double's bits, so that goes through Arrow. Encoders
+Everything but DOUBLE is built-in expressions; Spark has none for a double's bits, so that goes through Arrow, as arrays.
+Keys may be of any length: patterns are possessive, which Java's matcher runs as a loop rather than by recursion. Encoders
 of null give null. The encoding doesn't describe itself: decoders are told the types. Decoders fail on trailing or missing
 bytes, escapes that don't exist and text that isn't UTF-8.
 """
 
 from __future__ import annotations
 
-import struct
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,23 +43,28 @@ def encode_u64(v: Column) -> Column:
 
 def encode_bytes(v: Column) -> Column:
     # \G keeps the matches on byte boundaries: 10 01 has no zero byte.
-    return F.unhex(F.concat(F.regexp_replace(F.hex(v), r"\G((?:(?!00)..)*)00", "$100FF"), F.lit("0000")))
+    return F.unhex(F.concat(F.regexp_replace(F.hex(v), r"\G((?:(?!00)..)*+)00", "$100FF"), F.lit("0000")))
 
 
 def encode_string(v: Column) -> Column:
     return encode_bytes(F.encode(v, "UTF-8"))
 
 
-def _bits_out(x: float) -> bytes:
-    bits = int.from_bytes(struct.pack(">d", x), "big")
-    return (bits ^ (2**64 - 1 if bits >> 63 else 2**63)).to_bytes(8, "big")
+_TOP = np.uint64(1 << 63)
+
+
+def _doubles_out(v: pa.Array) -> pa.Array:
+    bits = np.asarray(v.fill_null(0.0), np.float64).view(np.uint64)
+    raw = np.where(bits & _TOP, ~bits, bits ^ _TOP).astype(">u8")
+    made = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(v), [None, pa.py_buffer(raw.tobytes())])
+    return pc.if_else(v.is_valid(), made.cast(pa.binary()), None)
 
 
-def _bits_in(b: bytes) -> float:
-    if len(b) != 8:
+def _doubles_in(b: pa.Array) -> pa.Array:
+    if pc.any(pc.not_equal(pc.binary_length(b), 8)).as_py():
         raise ValueError("a double has eight bytes")
-    bits = int.from_bytes(b, "big")
-    return struct.unpack(">d", (bits ^ (2**63 if bits >> 63 else 2**64 - 1)).to_bytes(8, "big"))[0]
+    raw = np.frombuffer(b"".join(b.fill_null(bytes(8)).to_pylist()), ">u8").astype(np.uint64)
+    return pc.if_else(b.is_valid(), pa.array(np.where(raw & _TOP, raw ^ _TOP, ~raw).view(np.float64)), None)
 
 
 def _f64_udfs():
@@ -66,11 +72,11 @@ def _f64_udfs():
 
     @F.arrow_udf("binary")
     def encode(v: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else _bits_out(x) for x in v.to_pylist()], pa.binary())
+        return _doubles_out(v)
 
     @F.arrow_udf("double")
-    def decode(v: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else _bits_in(x) for x in v.to_pylist()], pa.float64())
+    def decode(b: pa.Array) -> pa.Array:
+        return _doubles_in(b)
 
     return encode, decode
 
@@ -133,8 +139,8 @@ def decode_u64(b: Column) -> Column:
 
 def decode_bytes(b: Column) -> Column:
     h = F.hex(b)
-    fine = h.rlike("^(?:(?!00)..|00FF)*0000$")
-    body = F.regexp_replace(F.substring(h, F.lit(1), F.length(h) - 4), r"\G((?:(?!00)..)*)00FF", "$100")
+    fine = h.rlike("^(?:(?!00)..|00FF)*+0000$")
+    body = F.regexp_replace(F.substring(h, F.lit(1), F.length(h) - 4), r"\G((?:(?!00)..)*+)00FF", "$100")
     return F.when(fine, F.unhex(body)).when(b.isNull(), None).otherwise(_fail("a bad escape or no end").cast("binary"))
 
 
@@ -160,7 +166,7 @@ def decode_tuple(b: Column, *kinds: str) -> Column:
         if kind in _WIDTHS:
             size = F.lit(2 * _WIDTHS[kind])
         else:
-            size = F.length(F.regexp_extract(rest, "^(?:(?!00)..|00FF)*0000", 0))
+            size = F.length(F.regexp_extract(rest, "^(?:(?!00)..|00FF)*+0000", 0))
         part = F.substring(rest, F.lit(1), size)
         fields.append(decode(F.unhex(part), kind).alias(f"_{i}"))
         rest = F.substring(rest, size + 1, F.length(rest))

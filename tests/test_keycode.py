@@ -91,3 +91,30 @@ def test_format(spark):
     df = spark.createDataFrame([(bytearray(b'a"\\\n\x00\xff'), bytearray(b"v")), (bytearray(b""), None)], "k binary, v binary")
     shown = [r.s for r in df.select(fmt.key_value(F.col("k"), F.col("v")).alias("s")).collect()]
     assert shown == ['"a\\"\\\\\\n\\x00\\xff" → "v"', '"" → None']
+
+
+def test_keys_of_any_length(spark):
+    texts = ["x" * 1500, "\0" * 5000, "a\0" * 500_000, "é\0日" * 100_000, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i bigint, s string")
+    pair = K.decode_tuple(K.encode_tuple(K.encode_string(F.col("s")), K.encode_i64(F.col("i")), K.encode_bytes(F.encode("s", "UTF-8"))), "string", "bigint", "binary")
+    rows = df.select("i", "s", K.decode_string(K.encode_string(F.col("s"))).alias("t"), pair.alias("p")).collect()
+    assert all(r.s == r.t == r.p._1 and r.p._2 == r.i and bytes(r.p._3) == r.s.encode() for r in rows)
+    long = spark.createDataFrame([(bytearray(b"x" * 1_000_000),)], "b binary")
+    with pytest.raises(Exception, match="escape"):
+        long.select(K.decode_bytes(F.col("b"))).collect()
+
+
+def test_doubles_go_as_arrays(spark):
+    import random
+    import struct
+
+    rnd = random.Random(1)
+    values = [struct.unpack(">d", rnd.randbytes(8))[0] for _ in range(2000)] + [0.0, -0.0, math.inf, -math.inf, 5e-324, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for r in df.select("v", K.encode_f64(F.col("v")).alias("e"), K.decode_f64(K.encode_f64(F.col("v"))).alias("back")).collect():
+        if r.v is None:
+            assert r.e is None and r.back is None
+            continue
+        bits = int.from_bytes(struct.pack(">d", r.v), "big")
+        assert r.back == r.v or math.isnan(r.v) and math.isnan(r.back)
+        assert math.isnan(r.v) or int.from_bytes(r.e, "big") == bits ^ (2**64 - 1 if bits >> 63 else 2**63)
