@@ -1,8 +1,11 @@
-"""Sessions for local runs; on a cluster the caller brings its own."""
+"""Sessions for local runs (on a cluster the caller brings its own), and the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -26,6 +29,23 @@ def local_session(cores: int | str | None = None, app: str = "kvlake", **conf: s
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset, a temporary one in local mode, where
+    driver and executors are one process, and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='kvlake-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nobody else uses."""
+    return f"{shared_dir(spark)}/kvlake/{name}-{uuid.uuid4().hex}"
+
+
 def find_package(spark: SparkSession | None = None) -> None:
     """Lets Python workers find this package where the driver has it, if it isn't installed."""
     spark = spark or SparkSession.getActiveSession()
