@@ -44,8 +44,10 @@ def due_levels(tables: DataFrame, config: CompactionConfig) -> DataFrame:
     return beside.where(due).agg(F.min("level").alias("level")).where("level IS NOT NULL")
 
 
-def merge(runs: DataFrame, *, drop_deletes: bool) -> DataFrame:
+def merge(runs: DataFrame, *, drop_deletes: bool, ranged: bool = False) -> DataFrame:
     """The newest mutation of each key of runs (key, value, seq, is_delete). Deletes may go only if nothing older is left
-    that they hide."""
+    that they hide. ranged: runs are dealt out by ranges of keys once, which serves the aggregate and the sorted run it
+    becomes. That is for runs, where a key has a row in each at most; a log's hot keys are combined before the shuffle."""
+    runs = runs.repartitionByRange("key") if ranged else runs
     found = latest(runs, ["key"], ["value"]).select("key", "value", "seq", "is_delete")
     return found.where(~F.col("is_delete")) if drop_deletes else found

@@ -1,6 +1,6 @@
 """An ordered key/value store in a folder: log batches, sorted runs in levels, and a manifest.
 
-  wal/<batch>/      mutations as they came, durable once Spark has committed the folder
+  wal/<batch>/      mutations as they came, durable once Spark has committed the folder; _batch.json has their range of keys
   sst/<table>/      sorted runs
   manifest/<n>.json commits
   lock              held by the one writer
@@ -12,8 +12,14 @@ and differs from an empty value.
 
 from __future__ import annotations
 
+import json
+import logging
 import os
+import threading
 import uuid
+from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +28,10 @@ from pyspark.sql import functions as F
 from kvlake.functions.ranges import KeyRange, prefix_range
 from kvlake.operators import compaction, lww, scan, status, validate
 from kvlake.sources.files import Files
-from kvlake.sources.manifest import TABLE_META, Edit, Manifest, State, TableMeta
-from kvlake.sources.runs import COLUMNS, LOG_SCHEMA, pruned, read_paths, write_run
+from kvlake.sources.manifest import FORMAT, TABLE_META, Edit, Manifest, State, TableMeta, check_format
+from kvlake.sources.runs import COLUMNS, LOG_SCHEMA, RunFormat, pruned, read_paths, write_observed, write_run
 
+LOG = logging.getLogger("kvlake")
 #: Sequence numbers of a batch.
 BATCH_SEQS = 1 << 32
 
@@ -37,12 +44,42 @@ class InvalidInputError(ValueError):
     """A mutation that can't be stored."""
 
 
+class BusyError(Exception):
+    """The same operation is running."""
+
+
 @dataclass(frozen=True)
 class StoreConfig:
-    """max_buffer_bytes: key and value bytes of single writes that are held before they become a log batch."""
+    """max_buffer_bytes: key and value bytes of single writes that are held before they become a log batch. verify: reads
+    compare the checksums of pages."""
 
     max_buffer_bytes: int = 64 << 20
     compaction: compaction.CompactionConfig = field(default_factory=compaction.CompactionConfig)
+    run_format: RunFormat = field(default_factory=RunFormat)
+    verify: bool = False
+
+
+@dataclass(frozen=True)
+class BatchMeta:
+    """Entries and the range of keys of a log batch; without entries there are no keys. entries is None where a writer died
+    before it noted them: then any key can be there."""
+
+    entries: int | None = None
+    min_key: bytes | None = None
+    max_key: bytes | None = None
+
+    def to_json(self) -> str:
+        keys = {n: k.hex() if k is not None else None for n, k in (("min_key", self.min_key), ("max_key", self.max_key))}
+        return json.dumps({"format": FORMAT, "entries": self.entries} | keys)
+
+    @classmethod
+    def from_json(cls, text: str) -> BatchMeta:
+        d = json.loads(text)
+        check_format(d)
+        return cls(d["entries"], *(bytes.fromhex(d[n]) if d[n] is not None else None for n in ("min_key", "max_key")))
+
+    def meets(self, within: KeyRange) -> bool:
+        return self.entries is None or self.entries > 0 and within.meets(self.min_key, self.max_key)
 
 
 class Store:
@@ -64,14 +101,38 @@ class Store:
         self._buffer: list[tuple[bytes, bytes | None, bool]] = []
         self._buffered = 0
         self._batches = self._unflushed()
+        self._metas = {b: self._meta(b) for b in self._batches}
         self._next_batch = max([self.state.flushed_wal, *self._batches, *(t.max_seq // BATCH_SEQS for t in self.state.tables.values())], default=-1) + 1
-        self._compactions = 0
+        self._running, self._mutex = Counter(), threading.Lock()
 
     def _unflushed(self) -> list[int]:
         """Committed log batches that no flush has taken, from the oldest."""
         names = (n for n in self.files.names(f"{self.path}/wal") if n.isdigit())
         return [int(n) for n in names if int(n) > self.state.flushed_wal and self.files.exists(f"{self.path}/wal/{n}/_SUCCESS")]
 
+    def _batch(self, batch: int) -> str:
+        return f"{self.path}/wal/{batch:08d}"
+
+    def _meta(self, batch: int) -> BatchMeta:
+        path = f"{self._batch(batch)}/_batch.json"
+        return BatchMeta.from_json(self.files.read(path)) if self.files.exists(path) else BatchMeta()
+
+    @contextmanager
+    def _only(self, operation: str) -> Iterator[None]:
+        """Guards an operation: it runs once at a time, and counts as running until it ends, however it does."""
+        with self._mutex:
+            if self._running[operation]:
+                raise BusyError(operation)
+            self._running[operation] += 1
+        try:
+            yield
+        finally:
+            self._running[operation] -= 1
+
+    def is_operation_safe(self) -> bool:
+        """Whether no flush and no compaction is running."""
+        return not any(self._running.values())
+
     def __enter__(self) -> Store:
         return self
 
@@ -116,13 +177,21 @@ class Store:
             self._buffer, self._buffered = [], 0
 
     def _append(self, rows: DataFrame) -> int:
-        """Writes rows of key, value, place, is_delete as the next log batch."""
+        """Writes rows of key, value, place, is_delete as the next log batch. Rows that can't be stored are counted as they
+        are written; with any, the batch goes again."""
         batch = self._next_batch
-        path = f"{self.path}/wal/{batch:08d}"
-        numbered = rows.select("key", "value", (F.lit(batch * BATCH_SEQS) + F.col("place")).alias("seq"), "is_delete")
-        numbered.write.mode("overwrite").parquet(path)
+        path, low = self._batch(batch), batch * BATCH_SEQS
+        numbered = rows.select("key", "value", (F.lit(low) + F.col("place")).alias("seq"), "is_delete")
+        bad = F.col("key").isNull() | F.col("seq").isNull() | ~F.col("seq").between(low, low + BATCH_SEQS - 1) | F.col("is_delete").isNull() | F.col("value").isNull() & ~F.col("is_delete")
+        seen = write_observed(numbered, path, self.config.run_format, bad=F.count_if(bad))
+        if seen["bad"]:
+            self.files.delete(path)
+            raise InvalidInputError("keys, values and the order of writing must be given")
+        meta = BatchMeta(seen["entries"], *(bytes(seen[n]) if seen[n] is not None else None for n in ("min_key", "max_key")))
+        self.files.put_if_absent(f"{path}/_batch.json", meta.to_json())
         self._next_batch += 1
         self._batches.append(batch)
+        self._metas[batch] = meta
         return batch
 
     def write(self, rows: DataFrame, *, order: str | None = None, batch_id: int | None = None) -> int | None:
@@ -137,13 +206,10 @@ class Store:
         place = F.col(order).cast("bigint") if order else F.lit(0).cast("bigint")
         taken = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), place.alias("place"), is_delete.alias("is_delete"))
         batch = self._append(taken)
-        written = read_paths(self.spark, [f"{self.path}/wal/{batch:08d}"])
-        low = batch * BATCH_SEQS
-        bad = written.where(F.col("key").isNull() | F.col("seq").isNull() | ~F.col("seq").between(low, low + BATCH_SEQS - 1) | F.col("value").isNull() & ~F.col("is_delete"))
-        if not bad.isEmpty() or not lww.duplicate_seqs(written, ["key"]).isEmpty():
-            self._batches.pop()
-            self.files.delete(f"{self.path}/wal/{batch:08d}")
-            raise InvalidInputError("keys, values and the order of writing must be given, and equal keys have an order")
+        if not lww.duplicate_seqs(read_paths(self.spark, [self._batch(batch)]), ["key"]).isEmpty():
+            del self._metas[self._batches.pop()]
+            self.files.delete(self._batch(batch))
+            raise InvalidInputError("equal keys have an order")
         if batch_id is not None:
             self.files.make_dir(f"{self.path}/ingested")
             self.files.put_if_absent(f"{self.path}/ingested/{batch_id}", str(batch))
@@ -156,8 +222,8 @@ class Store:
         tables = self.state if version is None else self.manifest.state(version)
         paths = [self._table(t.id) for t in pruned(list(tables.tables.values()), within or KeyRange())]
         if version is None:
-            paths += [f"{self.path}/wal/{b:08d}" for b in self._batches]
-        found = read_paths(self.spark, paths)
+            paths += [self._batch(b) for b in self._batches if self._metas[b].meets(within or KeyRange())]
+        found = read_paths(self.spark, paths, verify=self.config.verify)
         if version is None and self._buffer:
             low = self._next_batch * BATCH_SEQS
             held = self.spark.createDataFrame([(k, v, low + i, d) for i, (k, v, d) in enumerate(self._buffer)], LOG_SCHEMA)
@@ -190,18 +256,20 @@ class Store:
         """Log batches to one run of level 0; False if there are none. The run counts from the commit on, and the
         batches go behind it."""
         self._check()
-        self.sync()
-        batches = list(self._batches)
-        if not batches:
-            return False
-        merged = compaction.merge(read_paths(self.spark, [f"{self.path}/wal/{b:08d}" for b in batches]), drop_deletes=False)
-        table_id = self._new_table()
-        meta = write_run(merged, self._table(table_id), table_id, 0)
-        self.state = self.manifest.commit(Edit("flush", wal_ids=batches, added=[meta] if meta else []), self.state)
-        self._batches = []
-        for b in batches:
-            self.files.delete(f"{self.path}/wal/{b:08d}")
-        return True
+        with self._only("flush"):
+            self.sync()
+            batches = list(self._batches)
+            if not batches:
+                return False
+            merged = compaction.merge(read_paths(self.spark, [self._batch(b) for b in batches], verify=self.config.verify), drop_deletes=False)
+            table_id = self._new_table()
+            meta = write_run(merged, self._table(table_id), table_id, 0, run_format=self.config.run_format)
+            self.state = self.manifest.commit(Edit("flush", wal_ids=batches, added=[meta] if meta else []), self.state)
+            self._batches = [b for b in self._batches if b not in batches]
+            for b in batches:
+                self.files.delete(self._batch(b))
+                del self._metas[b]
+            return True
 
     def _new_table(self) -> int:
         """An id whose folder isn't there; leftovers of a run that was never committed go."""
@@ -222,6 +290,10 @@ class Store:
         """Merges the tables of the level that is due, and those of the next one that overlap them, into a run of the next
         level; False if none is due. Deletes go when no older table can hold their keys."""
         self._check()
+        with self._only("compaction"):
+            return self._compact()
+
+    def _compact(self) -> bool:
         level = self.level_due()
         if level is None:
             return False
@@ -232,17 +304,13 @@ class Store:
             inputs += pruned(levels[level + 1], whole)
         reach = KeyRange(min(t.min_key for t in inputs), max(t.max_key for t in inputs), end_included=True)
         older = [t for deeper in levels[level + 2 :] for t in pruned(deeper, reach)]
-        self._compactions += 1
-        try:
-            job = self.state.seq + 1
-            self.state = self.manifest.commit(Edit("begin_compaction", job_id=job, source_level=level, target_level=level + 1), self.state)
-            merged = compaction.merge(read_paths(self.spark, [self._table(t.id) for t in inputs]), drop_deletes=not older)
-            table_id = self._new_table()
-            meta = write_run(merged, self._table(table_id), table_id, level + 1)
-            edit = Edit("commit_compaction", job_id=job, source_level=level, target_level=level + 1, deleted=[t.id for t in inputs], added=[meta] if meta else [])
-            self.state = self.manifest.commit(edit, self.state)
-        finally:
-            self._compactions -= 1
+        job = self.state.seq + 1
+        self.state = self.manifest.commit(Edit("begin_compaction", job_id=job, source_level=level, target_level=level + 1), self.state)
+        merged = compaction.merge(read_paths(self.spark, [self._table(t.id) for t in inputs], verify=self.config.verify), drop_deletes=not older, ranged=True)
+        table_id = self._new_table()
+        meta = write_run(merged, self._table(table_id), table_id, level + 1, run_format=self.config.run_format, ranged=True)
+        edit = Edit("commit_compaction", job_id=job, source_level=level, target_level=level + 1, deleted=[t.id for t in inputs], added=[meta] if meta else [])
+        self.state = self.manifest.commit(edit, self.state)
         for t in inputs:
             self.files.delete(self._table(t.id))
         return True
@@ -254,12 +322,27 @@ class Store:
         rows = [(t.id, t.level, t.size, t.entry_count, t.min_key, t.max_key) for t in self.state.tables.values()]
         return self.spark.createDataFrame(rows, TABLE_META)
 
+    def log_batches(self) -> DataFrame:
+        """batch, entries, size, min_key, max_key of the log batches that no flush has taken."""
+        rows = [(b, self._metas[b].entries, self.files.size(self._batch(b)), self._metas[b].min_key, self._metas[b].max_key) for b in self._batches]
+        return self.spark.createDataFrame(rows, "batch bigint, entries bigint, size bigint, min_key binary, max_key binary")
+
     def status(self) -> DataFrame:
-        size = sum(self.files.size(f"{self.path}/wal/{b:08d}") for b in self._batches) + self._buffered
-        return status.status(self.tables(), log_batches=len(self._batches), log_bytes=size, compactions=self._compactions)
+        size = sum(self.files.size(self._batch(b)) for b in self._batches) + self._buffered
+        return status.status(self.tables(), log_batches=len(self._batches), log_bytes=size, compactions=self._running["compaction"])
+
+    def metrics(self) -> dict:
+        """Sizes, counts and running operations, which go to the log as well."""
+        levels = self.state.levels()
+        found = {
+            "buffer_bytes": self._buffered, "log_batches": len(self._batches), "flush_running": bool(self._running["flush"]), "compactions_running": self._running["compaction"],
+            "next_table_id": self.state.next_table_id, "next_batch": self._next_batch, "level_tables": [len(x) for x in levels], "level_bytes": [sum(t.size for t in x) for x in levels],
+        }
+        LOG.info("metrics of %s: %s", self.path, found)
+        return found
 
     def violations(self) -> DataFrame:
         return validate.all_violations(self.tables(), self.state.next_table_id)
 
 
-__all__ = ["COLUMNS", "InvalidInputError", "KeyRange", "ReadOnlyError", "Store", "StoreConfig", "TableMeta"]
+__all__ = ["BusyError", "COLUMNS", "InvalidInputError", "KeyRange", "ReadOnlyError", "Store", "StoreConfig", "TableMeta"]

@@ -162,3 +162,128 @@ def test_lock_of_a_dead_writer(spark, tmp_path):
     reader = Store(spark, f"{tmp_path}/s", read_only=True)
     with pytest.raises(ReadOnlyError):
         reader.set(b"a", b"1")
+
+
+def keyed(spark, low, high):
+    return spark.range(low, high).selectExpr("cast(format_string('key_%05d', id) as binary) AS key", "cast(concat('v', id) as binary) AS value")
+
+
+def test_log_batches_are_pruned(spark, tmp_path):
+    with Store(spark, f"{tmp_path}/s") as s:
+        s.write(keyed(spark, 0, 50))
+        s.write(keyed(spark, 100, 150))
+        s.write(keyed(spark, 0, 0))
+        within = KeyRange(b"key_00110", b"key_00120")
+        folders = {f.rsplit("/", 2)[1] for f in s.log(within).inputFiles()}
+        assert folders == {"00000001"} and s.scan(within).count() == 10
+        rows = s.log_batches().collect()
+        assert [(r.entries, r.min_key, r.max_key) for r in rows] == [(50, b"key_00000", b"key_00049"), (50, b"key_00100", b"key_00149"), (0, None, None)]
+    (tmp_path / "s/wal/00000000/_batch.json").unlink()  # as if the writer had died before it
+    with Store(spark, f"{tmp_path}/s") as s:
+        assert s.scan(KeyRange(b"key_00010", b"key_00020")).count() == 10
+        assert s.log(within).inputFiles() and s.scan(within).count() == 10
+
+
+def test_rows_that_cannot_be_stored(spark, tmp_path):
+    with Store(spark, f"{tmp_path}/s") as s:
+        for bad in ([(None, bytearray(b"1"), False, 1)], [(bytearray(b"a"), None, False, 1)], [(bytearray(b"a"), bytearray(b"1"), None, 1)], [(bytearray(b"a"), bytearray(b"1"), False, -1)], [(bytearray(b"a"), bytearray(b"1"), False, 1 << 32)]):
+            with pytest.raises(InvalidInputError):
+                s.write(spark.createDataFrame(bad, "key binary, value binary, is_delete boolean, n bigint"), order="n")
+        assert s.log().count() == 0 and not s.flush()
+
+
+def test_compaction_shuffles_once(spark, tmp_path):
+    from kvlake.operators import compaction
+
+    rows = keyed(spark, 0, 500).selectExpr("key", "value", "1L AS seq", "false AS is_delete")
+    rows.write.parquet(f"{tmp_path}/r")
+    merged = compaction.merge(spark.read.parquet(f"{tmp_path}/r"), drop_deletes=True, ranged=True).sortWithinPartitions("key")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1, plan
+
+
+def test_keys_share_prefixes(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from kvlake.sources.runs import RunFormat
+
+    with Store(spark, f"{tmp_path}/s", StoreConfig(run_format=RunFormat(row_group_bytes=1 << 20, page_bytes=1 << 12))) as s:
+        s.write(keyed(spark, 0, 3000))
+        s.flush()
+        files = list((tmp_path / "s/sst/00000000").glob("*.parquet"))
+        column = pq.ParquetFile(files[0]).metadata.row_group(0).column(0)
+        assert column.path_in_schema == "key" and "DELTA_BYTE_ARRAY" in column.encodings and column.total_uncompressed_size < 3000 * 9 / 2
+        assert s.scan().count() == 3000
+
+
+def test_checksums(spark, tmp_path):
+    with Store(spark, f"{tmp_path}/s") as s:
+        s.write(keyed(spark, 0, 3000).coalesce(1))
+    file = next((tmp_path / "s/wal/00000000").glob("*.parquet"))
+    raw = bytearray(file.read_bytes())
+    raw[len(raw) // 2] ^= 0xFF
+    file.write_bytes(raw)
+    for crc in (tmp_path / "s/wal/00000000").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="(?i)crc|corrupt|could not verify"):
+        Store(spark, f"{tmp_path}/s", StoreConfig(verify=True), read_only=True).log().collect()
+
+
+def test_formats_that_are_not_known(spark, tmp_path):
+    from kvlake.store import BatchMeta
+
+    text = Edit("flush", 0, added=[meta(0)]).to_json()
+    assert '"format": 1' in text and Edit.from_json(text).added == [meta(0)] and Edit.from_json(text.replace('"format": 1, ', "")).kind == "flush"
+    with pytest.raises(ValueError, match="format 2"):
+        Edit.from_json(text.replace('"format": 1', '"format": 2'))
+    with pytest.raises(ValueError, match="format 3"):
+        BatchMeta.from_json('{"format": 3, "entries": 1, "min_key": null, "max_key": null}')
+
+
+def test_operations_run_once_at_a_time(spark, tmp_path):
+    from kvlake.store import BusyError
+
+    with Store(spark, f"{tmp_path}/s", SMALL) as s:
+        assert s.is_operation_safe()
+        s.set(b"a", b"1")
+        with s._only("flush"):
+            assert not s.is_operation_safe() and s.metrics()["flush_running"]
+            with pytest.raises(BusyError):
+                s.flush()
+        with pytest.raises(ValueError), s._only("compaction"):
+            assert s.status().first().compactions == 1
+            raise ValueError
+        assert s.is_operation_safe() and s.flush()
+        found = s.metrics()
+        assert (found["level_tables"], found["next_table_id"], found["log_batches"], found["next_batch"]) == ([1], 1, 0, 1) and found["level_bytes"][0] > 0
+
+
+def test_scheduler(spark, tmp_path):
+    import time
+
+    from kvlake.streaming.ingest import Scheduler
+
+    scheduler, runs, once = Scheduler(spark, f"{tmp_path}/c"), [], []
+    query = scheduler.register("tick", runs.append, "200 milliseconds")
+    scheduler.spawn(lambda: once.append(1))
+    scheduler.spawn(lambda: 1 / 0)  # is logged
+    until = time.time() + 30
+    while len(runs) < 2 and time.time() < until:
+        time.sleep(0.1)
+    scheduler.shutdown()
+    n = len(runs)
+    assert n >= 2 and once == [1] and not query.isActive
+    time.sleep(0.5)
+    assert len(runs) == n
+
+
+@pytest.mark.parametrize("within", [KeyRange(a, b, x, y) for a in (None, 0, 10, 15, 29, 30, 99) for b in (None, 5, 10, 20, 21, 99) for x, y in ((True, False), (False, True))])
+def test_blocks_of_a_range(spark, within):
+    from kvlake.sources.runs import blocks_in
+
+    first = [10, 20, 30]
+    index = spark.createDataFrame(list(enumerate(first)), "block int, first_key int")
+    # The slice by the positions of the bounds in the sorted first keys.
+    begin = 0 if within.start is None else max(0, sum(f <= within.start for f in first) - 1)
+    end = 3 if within.end is None else sum(f <= within.end if within.end_included else f < within.end for f in first)
+    assert sorted(r.block for r in blocks_in(index, within).collect()) == list(range(begin, end))
