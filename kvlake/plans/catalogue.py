@@ -11,8 +11,10 @@ from kvlake.functions import format as fmt
 from kvlake.functions import keycode
 from kvlake.functions.ranges import KeyRange, text_prefix_range
 from kvlake.operators import chunks, compaction, lww, scan, status, validate
+from kvlake.session import scratch
 from kvlake.sources import runs
 from kvlake.sources.manifest import EDITS, replayed
+from kvlake.store import Store, StoreConfig
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -70,13 +72,13 @@ def kv_upsert_orders(spark, sf_dir):
     return lww.live(lww.log_of(orders.unionByName(again), ["o_orderkey"], ["price"], "seq"), ["o_orderkey"], ["price"])
 
 
-@query("kv_merge_sources", """SELECT user_id, arg_min(value, source) AS value, min(source) AS source FROM (
-  SELECT user_id, arg_max(value, event_id) AS value, CASE WHEN event_id % 3 = 2 THEN 0 WHEN event_id % 3 = 1 THEN 1 ELSE 2 END AS source
-  FROM events WHERE user_id % (1 + (event_id % 3)) = 0 GROUP BY user_id, event_id % 3) GROUP BY user_id""")
+@query("kv_merge_sources", """SELECT user_id, event_type, arg_min(value, source) AS value, min(source) AS source FROM (
+  SELECT user_id, event_type, arg_max(value, event_id) AS value, CAST(2 - event_id % 3 AS INTEGER) AS source FROM events GROUP BY ALL) GROUP BY ALL""")
 def kv_merge_sources(spark, sf_dir):
-    log = _table(spark, sf_dir, "events").where("user_id % (1 + (event_id % 3)) = 0")
-    part = lambda i: lww.live(lww.log_of(log.where(F.col("event_id") % 3 == i), ["user_id"], ["value"], "event_id"), ["user_id"], ["value"])
-    return lww.merged([part(2), part(1), part(0)], ["user_id"], ["value"])
+    """Three sources that together hold all events; a key is in one, two or all of them."""
+    keys, events = ["user_id", "event_type"], _table(spark, sf_dir, "events")
+    part = lambda i: lww.live(lww.log_of(events.where(F.col("event_id") % 3 == i), keys, ["value"], "event_id"), keys, ["value"])
+    return lww.merged([part(2), part(1), part(0)], keys, ["value"])
 
 
 @query("kv_log_replay_order", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version FROM events")
@@ -203,6 +205,15 @@ def keycode_roundtrip(spark, sf_dir):
     )
 
 
+@query("keycode_roundtrip_long", "SELECT doc_id, coalesce(text, '') AS s, octet_length(encode(coalesce(text, ''))) AS n, sha256(coalesce(text, '')) AS b_sha256, doc_id AS i FROM documents")
+def keycode_roundtrip_long(spark, sf_dir):
+    """Whole texts as keys, alone and in a tuple."""
+    text = F.coalesce("text", F.lit(""))
+    pair = keycode.decode_tuple(keycode.encode_tuple(keycode.encode_bytes(F.encode(text, "UTF-8")), keycode.encode_i64(F.col("doc_id"))), "binary", "bigint")
+    found = _table(spark, sf_dir, "documents").select("doc_id", keycode.decode_string(keycode.encode_string(text)).alias("s"), pair.alias("pair"))
+    return found.select("doc_id", "s", F.octet_length("s").cast("bigint").alias("n"), F.sha2("pair._1", 256).alias("b_sha256"), F.col("pair._2").alias("i"))
+
+
 @query("format_kv", """SELECT c_custkey, '"' || c_name || '" → "' || c_mktsegment || '"' AS shown FROM customer""")
 def format_kv(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", fmt.key_value(F.encode("c_name", "UTF-8"), F.encode("c_mktsegment", "UTF-8")).alias("shown"))
@@ -247,7 +258,7 @@ def sparse_index_find(spark, sf_dir):
 @query("sparse_index_range", "SELECT block, first_key FROM (SELECT o_orderkey // 128 AS block, min(o_orderkey) AS first_key FROM orders GROUP BY 1) WHERE block BETWEEN 1000 // 128 AND 2000 // 128")
 def sparse_index_range(spark, sf_dir):
     blocks = _table(spark, sf_dir, "orders").withColumn("block", F.floor(F.col("o_orderkey") / 128))
-    return runs.sparse_index(blocks, "block", "o_orderkey").where(F.col("block").between(1000 // 128, 2000 // 128))
+    return runs.blocks_in(runs.sparse_index(blocks, "block", "o_orderkey"), KeyRange(1000, 2000, end_included=True))
 
 
 @query("compaction_plan", f"""WITH l AS (SELECT level, count(*) AS tables, CAST(sum(size) AS BIGINT) AS size FROM ({_META}) GROUP BY level),
@@ -257,11 +268,12 @@ def compaction_plan(spark, sf_dir):
     return compaction.due_levels(_metadata(spark, sf_dir), compaction.CompactionConfig(level0_threshold=1_000_000, size_ratio=1, max_tables=3))
 
 
-@query("compact_merge", "SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events WHERE event_id % 4 IN (0, 1) GROUP BY user_id ORDER BY user_id")
+@query("compact_merge", "SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY user_id HAVING max(event_id) % 4 <> 3 ORDER BY user_id")
 def compact_merge(spark, sf_dir):
-    chosen = _table(spark, sf_dir, "events").where("event_id % 4 IN (0, 1)")
-    log = chosen.select(F.col("user_id").alias("key"), "value", F.col("event_id").alias("seq"), F.lit(False).alias("is_delete"))
-    return compaction.merge(log, drop_deletes=True).select(F.col("key").alias("user_id"), "value", "seq").orderBy("user_id")
+    """Four runs that together hold all events; the mutations of one are deletes."""
+    part = lambda i: compaction.merge(_table(spark, sf_dir, "events").where(F.col("event_id") % 4 == i).select(F.col("user_id").alias("key"), "value", F.col("event_id").alias("seq"), F.lit(i == 3).alias("is_delete")), drop_deletes=False)
+    merged = compaction.merge(part(0).unionByName(part(1)).unionByName(part(2)).unionByName(part(3)), drop_deletes=True, ranged=True)
+    return merged.select(F.col("key").alias("user_id"), "value", "seq").orderBy("user_id")
 
 
 @query("manifest_replay", """WITH e AS (SELECT event_id AS seq, user_id, event_id % 5 AS k FROM events),
@@ -310,6 +322,76 @@ def store_status(spark, sf_dir):
     return status.status(_metadata(spark, sf_dir), log_batches=12, log_bytes=3456)
 
 
+# A store in a folder of its own
+
+#: All events as three log batches, in the order of these; a batch's fifth events are deletes.
+_BATCHES = "event_id % 3"
+_NEWEST = "SELECT user_id, arg_max(value, ({0}, event_id)) AS value FROM events GROUP BY user_id HAVING arg_max(event_id, ({0}, event_id)) % 5 <> 0"
+
+
+def _batch(spark: SparkSession, sf_dir: str, i: int) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").where(F.expr(_BATCHES) == i)
+    return rows.select(keycode.encode_i64(F.col("user_id")).alias("key"), F.col("value").cast("string").cast("binary").alias("value"), (F.col("event_id") % 5 == 0).alias("is_delete"), "event_id")
+
+
+def _stored(spark: SparkSession, sf_dir: str, *, flush: tuple[int, ...] = (), config: StoreConfig | None = None) -> str:
+    """The path of a store of all batches, flushed after those given."""
+    path = scratch(spark, "store")
+    with Store(spark, path, config) as store:
+        for i in range(3):
+            store.write(_batch(spark, sf_dir, i), order="event_id")
+            if i in flush:
+                store.flush()
+            store.needs_compaction() and store.compact()
+    return path
+
+
+def _content(rows: DataFrame) -> DataFrame:
+    return rows.select(keycode.decode_i64(F.col("key")).alias("user_id"), F.col("value").cast("string").cast("double").alias("value"))
+
+
+@query("store_log_replay", f"SELECT user_id, event_id, event_id % 5 = 0 AS is_delete, row_number() OVER (PARTITION BY user_id ORDER BY {_BATCHES}, event_id) AS version FROM events")
+def store_log_replay(spark, sf_dir):
+    """The mutations that a store finds in its log when it is opened again, with checksums compared."""
+    log = Store(spark, _stored(spark, sf_dir), StoreConfig(verify=True), read_only=True).log()
+    order = Window.partitionBy("user_id").orderBy("seq")
+    rows = log.select(keycode.decode_i64(F.col("key")).alias("user_id"), (F.col("seq") % (1 << 32)).alias("event_id"), "is_delete", "seq")
+    return rows.withColumn("version", F.row_number().over(order).cast("bigint")).drop("seq")
+
+
+@query("store_recover", _NEWEST.format(_BATCHES))
+def store_recover(spark, sf_dir):
+    """A store that is opened again with a flushed run and unflushed batches."""
+    return _content(Store(spark, _stored(spark, sf_dir, flush=(1,)), read_only=True).scan(ordered=False))
+
+
+@query("store_flush", _NEWEST.format(_BATCHES))
+def store_flush(spark, sf_dir):
+    """Runs of level 0 only, one for each batch."""
+    return _content(Store(spark, _stored(spark, sf_dir, flush=(0, 1, 2)), read_only=True).scan(ordered=False))
+
+
+@query("store_compact", _NEWEST.format(_BATCHES))
+def store_compact(spark, sf_dir):
+    """Runs that are merged as soon as there are two: the last one is alone in its level, without deletes."""
+    config = StoreConfig(compaction=compaction.CompactionConfig(level0_threshold=1, max_tables=100))
+    store = Store(spark, _stored(spark, sf_dir, flush=(0, 1, 2), config=config), read_only=True)
+    return _content(store.scan(ordered=False))
+
+
+@query("store_snapshot", f"SELECT user_id, arg_max(value, ({_BATCHES}, event_id)) AS value FROM events WHERE {_BATCHES} < 2 GROUP BY user_id HAVING arg_max(event_id, ({_BATCHES}, event_id)) % 5 <> 0")
+def store_snapshot(spark, sf_dir):
+    """The store as of its second commit, read after the third."""
+    return _content(Store(spark, _stored(spark, sf_dir, flush=(0, 1, 2)), read_only=True).scan(ordered=False, version=1))
+
+
+@query("store_tables", f"SELECT {_BATCHES} AS id, 0 AS level, count(DISTINCT user_id) AS entry_count, min(user_id) AS min_key, max(user_id) AS max_key FROM events GROUP BY 1")
+def store_tables(spark, sf_dir):
+    """Metadata of the tables that flushes made."""
+    tables = Store(spark, _stored(spark, sf_dir, flush=(0, 1, 2)), read_only=True).tables()
+    return tables.select("id", "level", "entry_count", *(keycode.decode_i64(F.col(c)).alias(c) for c in ("min_key", "max_key")))
+
+
 # Time chunks
 
 @query("time_chunk_count", "SELECT time_bucket(INTERVAL '1 hour', ts) AS chunk, count(*) AS n FROM events GROUP BY 1")
