@@ -4,42 +4,31 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import tempfile
-import uuid
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The word pattern of the contracts: runs of anything but blank, tab, LF, VT, FF and CR.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-
+from kvlake.session import find_package, scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='kvlake-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+__all__ = ["scratch", "shared_dir"]
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/kvlake/{name}-{uuid.uuid4().hex}"
+#: The word pattern of the contracts: runs of anything but blank, tab, LF, VT, FF and CR.
+WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Written tables of this process that haven't been deleted.
 _made: list[str] = []
 
 
-def written(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: it cuts the lineage and outlives executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     _made.append(path)
-    df.write.parquet(path, partitionBy=partition_by)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["written_path"] = path
+    return table
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -48,16 +37,32 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes the written tables of this process, once their results have been used."""
-    while _made:
-        remove(spark, _made.pop())
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by written() that nothing needs any more."""
+    for df in tables:
+        _made.remove(path := df.__dict__["written_path"])
+        remove(df.sparkSession, path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table made by written() that nothing needs any more."""
-    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        remove(df.sparkSession, root)
+def made() -> int:
+    """How many written tables there are: for sweep() and finished()."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, *, since: int = 0, but: str = "") -> None:
+    """Deletes the written tables of this process, once their results have been used: those made since a time (given by
+    made()), but for the path of one that is still needed."""
+    for path in _made[since:]:
+        if path != but:
+            _made.remove(path)
+            remove(spark, path)
+
+
+def finished(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df as a written table, without those that were made for it since a time."""
+    done = written(df, name)
+    sweep(df.sparkSession, since=since, but=done.__dict__["written_path"])
+    return done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,9 +85,7 @@ BATCH_BYTES = 8 << 20
 def python_workers(spark: SparkSession) -> None:
     """Prepares for Python stages: workers find this package, and Arrow batches are bounded by bytes as well as rows, so
     that a batch of very long texts fits a worker's memory."""
-    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), root]))
+    find_package(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
@@ -103,6 +106,14 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """df with the columns called as one of names, in any case, renamed with underscores in front: results get the names."""
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            df = df.withColumnRenamed(c, unused(df, c))
+    return df
+
+
 #: A key is hot when it has more than one row in HOT_SHARE; there can be no more than HOT_SHARE such keys.
 HOT_SHARE = 1000
 #: Parts into which the rows of a hot key are dealt.
@@ -110,11 +121,14 @@ SALTS = 64
 
 
 def join_salted(rows: DataFrame, sized: DataFrame, key: str, size: Column, total: int, by: Column) -> DataFrame:
-    """rows joined on key with sized, which has one row for each key and size, the key's number of rows; total is that of
-    all keys. Rows of hot keys are dealt over SALTS parts by the hash of by, and their row of sized goes to each part.
-    The list of hot keys is broadcast: it has no more than HOT_SHARE of them."""
-    hot = F.broadcast(sized.where(size * HOT_SHARE > total).select(key, F.lit(True).alias("hot")))
-    left = rows.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("hot")
-    right = sized.join(hot, key, "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    """rows joined on key with sized (a written table), which has one row for each key and size, the key's number of rows;
+    total is that of all keys. Rows of hot keys are dealt over SALTS parts by the hash of by, and their row of sized goes to
+    each part. The hot keys, HOT_SHARE of them at most, are literals of the plan; without any it is a plain join."""
+    hot = [r[0] for r in sized.where(size * HOT_SHARE > total).select(key).collect()]
+    if not hot:
+        return rows.join(sized.hint("merge"), key)
+    is_hot = F.col(key).isin([bytearray(h) if isinstance(h, bytes) else h for h in hot])
+    left = rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    right = sized.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     # Dealt by both columns expressly: a join alone may deal by the key only.
     return left.repartition(key, "salt").join(right.repartition(key, "salt").hint("merge"), [key, "salt"]).drop("salt")

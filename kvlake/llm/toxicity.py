@@ -5,12 +5,15 @@ first bytes, hashed. A document's score is the noisy-or of its sentences, 1 - pr
 that the loss is the documents' and its gradient reaches the sentences through the noisy-or; locate() then gives the
 sentences that made the score.
 
-The model is trained on the driver from a bounded sample of labelled rows (SAMPLE of each label, those of the least
-hashes of doc_id, and SAMPLE_BYTES of text) and scores every text whole. Rows whose crc32(doc_id as text) mod 3 is 1 are never learnt from.
+The model is trained by one task from a bounded sample of labelled rows (SAMPLE of each label, those of the least hashes
+of doc_id, and SAMPLE_BYTES of text); only its weights come to the driver. Every text is scored whole: a long one is read
+in parts that are cut between words, and a sentence goes on from part to part. Rows whose crc32(doc_id as text) mod 3 is 1
+are never learnt from.
 
 Defined cases: a null text is empty, and an empty text's score is 0; labels that are null, or whose doc_id is null or
 without a document, aren't learnt from; of several labels the largest counts, of several texts of a doc_id the least is
-learnt from; without labels of both kinds every score is 0. Repeated rows are scored alike.
+learnt from; without labels of both kinds every score is 0. Repeated rows are scored alike; an empty table gives no rows.
+Extra columns are carried, one with the name of the score's under another name.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ LEAST_DEVIATION = 4.5
 FEATURES = 1 << 21
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
-#: Bytes of text handled at once.
+#: Bytes of text handled at once, besides the rest of a word.
 CHUNK_BYTES = 1 << 20
 
 #: Kinds of bytes: 0 separates words, 1 belongs to a word, 2 ends a sentence. Bytes of letters beyond ASCII are in words.
@@ -81,20 +84,129 @@ def sentences(texts: list[bytes]) -> Sentences:
     return Sentences(own[begin], begin, features, start[begin] - shift, end[last] - shift)
 
 
+def _segments(text: bytes) -> Iterator[bytes]:
+    """Parts of a long text of about CHUNK_BYTES, cut behind sentences where there are any, else between words."""
+    at = 0
+    while len(text) - at > CHUNK_BYTES:
+        kind = _KIND[np.frombuffer(text, np.uint8, CHUNK_BYTES, at)]
+        ends = np.flatnonzero(kind == 2)
+        ends = ends if len(ends) else np.flatnonzero(kind == 0)
+        cut = at + int(ends[-1]) + 1 if len(ends) else at + CHUNK_BYTES
+        while not len(ends) and cut < len(text):  # to the end of a word that is longer
+            kind = _KIND[np.frombuffer(text, np.uint8, min(CHUNK_BYTES, len(text) - cut), cut)]
+            ends = np.flatnonzero(kind != 1)
+            cut += int(ends[0]) if len(ends) else len(kind)
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def chunks(texts: list[bytes]) -> Iterator[tuple[Sentences, bool]]:
+    """Sentences of texts, some short texts or a part of a long one at a time, with places in texts and in the text; and
+    whether the first sentence goes on with the last one before."""
+    held: list[bytes] = []
+    size = first = 0
+    for i, text in enumerate([*texts, None]):
+        if held and (text is None or size + len(text) > CHUNK_BYTES):
+            s = sentences(held)
+            s.text += first
+            yield s, False
+            held, size = [], 0
+        if text is None:
+            return
+        if len(text) <= CHUNK_BYTES:
+            first = first if held else i
+            held.append(text)
+            size += len(text) + 1
+            continue
+        at, is_open = 0, False
+        for part in _segments(text):
+            ends, s = _KIND[np.frombuffer(part, np.uint8)] == 2, sentences([part])
+            if len(s.begin):
+                goes_on = is_open and not ends[: s.start[0]].any()
+                is_open = not ends[s.end[-1] :].any()
+                s.text += i
+                s.start += at
+                s.end += at
+                yield s, goes_on
+            else:
+                is_open = is_open and not ends.any()
+            at += len(part)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
 
-    def logits(self, s: Sentences) -> np.ndarray:
+    def __getstate__(self) -> tuple[bytes, bytes, float]:
+        """Weights that aren't zero: what is sent to workers is a small part of FEATURES."""
+        at = np.flatnonzero(self.weights).astype("<i4")
+        return at.tobytes(), self.weights[at].astype("<f4").tobytes(), float(self.bias)
+
+    def __setstate__(self, state: tuple[bytes, bytes, float]) -> None:
+        self.weights, self.bias = np.zeros(FEATURES, np.float32), state[2]
+        self.weights[np.frombuffer(state[0], "<i4")] = np.frombuffer(state[1], "<f4")
+
+    def evidence(self, s: Sentences) -> np.ndarray:
+        """The sum of the weights of each sentence."""
         if not len(s.begin):
             return np.zeros(0)
-        return self.bias + np.add.reduceat(self.weights[s.features].sum(axis=1, dtype=np.float64), s.begin)
+        return np.add.reduceat(self.weights[s.features].sum(axis=1, dtype=np.float64), s.begin)
+
+    def scored(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, start, end, logit) of sentences, all of each once."""
+        held = None
+        for s, goes_on in chunks(texts):
+            found = [s.text, s.start, s.end, self.evidence(s)]
+            if held is not None and goes_on:
+                found[1][0] = held[1][0]
+                found[3][0] += held[3][0]
+            elif held is not None:
+                found = [np.concatenate(x) for x in zip(held, found, strict=True)]
+            held = [x[-1:].copy() for x in found]  # more of it may follow
+            yield *(x[:-1] for x in found[:3]), self.bias + found[3][:-1]
+        if held is not None:
+            yield *held[:3], self.bias + held[3]
 
     def surprise(self, texts: list[bytes]) -> np.ndarray:
         """-log(1 - score) of each text: sentences add up."""
-        s = sentences(texts)
-        return np.bincount(s.text, weights=np.logaddexp(0, self.logits(s)), minlength=len(texts))
+        total = np.zeros(len(texts))
+        for text, _, _, logit in self.scored(texts):
+            total += np.bincount(text, weights=np.logaddexp(0, logit), minlength=len(texts))
+        return total
+
+
+def _telling(texts: list[bytes], y: np.ndarray) -> np.ndarray:
+    """Which features are in LEAST_DOCUMENTS documents and, by LEAST_DEVIATION, more often in toxic ones."""
+    seen, last = np.zeros((2, FEATURES), np.int32), np.zeros(0, np.int64)
+    for s, _ in chunks(texts):
+        owner = np.repeat(s.text, np.diff(np.append(s.begin, len(s.features))))
+        pairs = np.unique(s.features.astype(np.int64) + FEATURES * owner[:, None])
+        if len(last) and len(pairs) and last[-1] // FEATURES == s.text[0]:  # another part of a long text
+            pairs, last = np.setdiff1d(pairs, last, assume_unique=True), np.union1d(last, pairs)
+        elif len(pairs):
+            last = pairs
+        np.add.at(seen, (y[pairs // FEATURES].astype(int), pairs % FEATURES), 1)
+    n, often = np.asarray([(1 - y).sum(), y.sum()]), np.flatnonzero(seen.sum(axis=0) >= LEAST_DOCUMENTS)
+    seen = seen[:, often]
+    share = seen.sum(axis=0) / n.sum()
+    deviation = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n).sum())
+    used = np.zeros(FEATURES, bool)
+    used[often[deviation >= LEAST_DEVIATION]] = True
+    return used
+
+
+def _uses(texts: list[bytes], used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The document of each sentence, and sentence and feature of each use of a used feature."""
+    found, n = [[np.zeros(0, np.int64)] for _ in range(3)], 0
+    for s, goes_on in chunks(texts):
+        word, kind = np.nonzero(used[s.features])
+        n -= goes_on
+        for x, more in zip(found, (s.text[int(goes_on) :], n + np.searchsorted(s.begin, word, side="right") - 1, s.features[word, kind]), strict=True):
+            x.append(more)
+        n += len(s.begin)
+    return tuple(np.concatenate(x) for x in found)
 
 
 def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, rate: float = 0.05, decay: float = 0.1, batch: int = 64, bias: float = -4.0, seed: int = 7) -> Model:
@@ -106,28 +218,18 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, rate: float
     y = np.asarray(labels, float)
     weight = (1 - y).sum() / y.sum()  # both labels count alike
     rng = np.random.default_rng(seed)
-    seen = np.zeros((2, FEATURES), np.int32)
+    used = _telling(texts, y)
+    text, sentence, feature = _uses(texts, used)
+    batches = []  # of each: the document of each sentence, and sentence and feature of each use
     for at in range(0, len(texts), batch):
-        s = sentences(texts[at : at + batch])
-        owner = np.repeat(s.text, np.diff(np.append(s.begin, len(s.features))))
-        pairs = np.unique(s.features.astype(np.int64) + FEATURES * owner[:, None])
-        np.add.at(seen, (y[at + pairs // FEATURES].astype(int), pairs % FEATURES), 1)
-    n, often = np.asarray([(1 - y).sum(), y.sum()]), np.flatnonzero(seen.sum(axis=0) >= LEAST_DOCUMENTS)
-    seen = seen[:, often]
-    share = seen.sum(axis=0) / n.sum()
-    deviation = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n).sum())
-    used = np.zeros(FEATURES, bool)
-    used[often[deviation >= LEAST_DEVIATION]] = True
-    parts = []  # of each batch: the document of each sentence, and sentence and feature of each use
-    for at in range(0, len(texts), batch):
-        s = sentences(texts[at : at + batch])
-        word, kind = np.nonzero(used[s.features])
-        parts.append((s.text, np.searchsorted(s.begin, word, side="right") - 1, s.features[word, kind]))
+        a, b = np.searchsorted(text, (at, at + batch))
+        c, d = np.searchsorted(sentence, (a, b))
+        batches.append((text[a:b] - at, sentence[c:d] - a, feature[c:d]))
     squares, bias_square = np.full(FEATURES, 1e-4, np.float32), 1e-4
-    steps = [p for _ in range(epochs) for p in rng.permutation(len(parts))]
+    steps = [p for _ in range(epochs) for p in rng.permutation(len(batches))]
     for step, p in enumerate(steps):
         pace = rate * (1 - step / len(steps))
-        (text, sentence, feature), own = parts[p], y[p * batch : (p + 1) * batch]
+        (text, sentence, feature), own = batches[p], y[p * batch : (p + 1) * batch]
         z = model.bias + np.bincount(sentence, weights=model.weights[feature], minlength=len(text))
         total = np.bincount(text, weights=np.logaddexp(0, z), minlength=len(own)) + 1e-9
         outer = (1 - own) - weight * own / np.expm1(np.minimum(total, 50))
@@ -155,80 +257,75 @@ def learn(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> M
     rows = common.written(rows.where(F.octet_length("text") <= SAMPLE_BYTES).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
     order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over the sample
     fits = rows.select("doc_id", F.sum(F.octet_length("text").cast("long")).over(order).alias("bytes")).where(F.col("bytes") <= SAMPLE_BYTES)
-    texts, y = [], []
-    for row in rows.join(F.broadcast(fits), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        texts.append(row["text"].lower().encode())
-        y.append(row["toxic"])
-    return train(texts, y)
+    common.python_workers(documents.sparkSession)
+    chosen = rows.join(F.broadcast(fits.select("doc_id")), "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    found = chosen.select("text", "toxic").mapInArrow(_trained, "at binary, weights binary, bias double").first()
+    common.discard(rows)
+    model = train([], [])
+    if found:  # a row from a partition with rows
+        model.__setstate__((bytes(found["at"]), bytes(found["weights"]), found["bias"]))
+    return model
 
 
-def _segments(text: bytes) -> Iterator[bytes]:
-    """Parts of a very long text, cut behind sentences where there are any."""
-    at = 0
-    while len(text) - at > CHUNK_BYTES:
-        cut = max(text.rfind(c, at, at + CHUNK_BYTES) for c in (b".", b"\n", b"!", b"?"))
-        cut = cut + 1 if cut >= 0 else at + CHUNK_BYTES
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model's state, from the rows of a partition in their order."""
+    texts, labels = [], []
+    for batch in batches:
+        texts += [t.lower().encode() for t in batch.column("text").to_pylist()]
+        labels += batch.column("toxic").to_pylist()
+    if not labels:
+        return
+    state = train(texts, labels).__getstate__()
+    del texts
+    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(state, (pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["at", "weights", "bias"])
+    common.release_memory()
 
 
-def _scored(batches: Iterator[pa.RecordBatch], *, model: Model, column: str) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], *, model: Model, column: str, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        total = np.zeros(batch.num_rows)
-        held, owner, size = [], [], 0
-
-        def flush():
-            np.add.at(total, owner, model.surprise(held))
-
-        for i, text in enumerate(batch.column(column).to_pylist()):
-            for part in _segments(text.lower().encode()):
-                if size and size + len(part) > CHUNK_BYTES:
-                    flush()
-                    held, owner, size = [], [], 0
-                held.append(part), owner.append(i)
-                size += len(part) + 1
-        if held:
-            flush()
-        score = -np.expm1(-total)
+        texts = [t.lower().encode() for t in batch.column(column).to_pylist()]
+        score = pa.array(-np.expm1(-model.surprise(texts)))
         names = [n for n in batch.schema.names if n != column]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], names=[*names, "score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), score], names=[*names, name])
     common.release_memory()
 
 
-def score(documents: DataFrame, model: Model, *columns: str) -> DataFrame:
-    """columns of documents (all by default) and score."""
+def score(documents: DataFrame, model: Model, *columns: str, name: str = "score") -> DataFrame:
+    """columns of documents (all by default) and the score, as name. A column of that name is renamed, see set_aside."""
     common.python_workers(documents.sparkSession)
     column = common.unused(documents, "_scored")
-    rows = documents.select(*(F.col(f"`{c}`") for c in columns or documents.columns if c != "score"), common.text_of().alias(column))
-    schema = rows.drop(column).schema.add("score", "double")
-    sent = documents.sparkSession.sparkContext.broadcast(model)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _scored(batches, model=sent.value, column=column)
-
-    return rows.mapInArrow(scored, schema)
+    rows = documents.select(*(F.col(f"`{c}`") for c in columns or documents.columns), common.text_of().alias(column))
+    rows = common.set_aside(rows, name)
+    schema = rows.drop(column).schema.add(name, "double")
+    return rows.mapInArrow(partial(_scored, model=model, column=column, name=name), schema)
 
 
 def _located(batches: Iterator[pa.RecordBatch], *, model: Model, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            at = 0
-            for part in _segments(text.encode()):
-                lower = part.decode(errors="ignore").lower().encode()
-                same = len(lower) == len(part)
-                s = sentences([lower])
-                p = 1 / (1 + np.exp(-model.logits(s)))
+            lower, whole = text.lower().encode(), text.encode()
+            # Small forms of other lengths move what follows: their characters are matched one by one.
+            moved = None if len(lower) == len(whole) else _places(text)
+            for _, start, end, logit in model.scored([lower]):
+                p = 1 / (1 + np.exp(-logit))
                 for j in np.flatnonzero(p >= least).tolist():
-                    a, b = int(s.start[j]), int(s.end[j])
-                    rows.append((doc_id, at + a, at + b, float(p[j]), (part if same else lower)[a:b].decode(errors="replace")))
-                at += len(part)
+                    a, b = int(start[j]), int(end[j])
+                    if moved is not None:
+                        a, b = int(moved[a]), int(moved[b])
+                    rows.append((doc_id, a, b, float(p[j]), whole[a:b].decode(errors="replace")))
         columns = list(zip(*rows, strict=True)) or [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "end", "score", "sentence"])
 
 
+def _places(text: str) -> np.ndarray:
+    """For each byte of the text's small form, and for its end, the byte of text where its character begins."""
+    sizes = [(len(c.encode()), len(c.lower().encode())) for c in text]
+    own, small = np.asarray(sizes, np.int64).T
+    return np.append(np.repeat(np.cumsum(own) - own, small), own.sum())
+
+
 def locate(documents: DataFrame, model: Model, *, least: float = 0.5) -> DataFrame:
     """doc_id, start, end (bytes), score, sentence: the sentences whose own score is least or more."""
     common.python_workers(documents.sparkSession)
