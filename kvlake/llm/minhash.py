@@ -8,12 +8,15 @@ sets.
 
 Skew: documents with the same set form a class, of which one member goes on. In a bucket no list of all pairs is made.
 Every member is first compared with the least one, which joins most of a large group; then only members outside the
-bucket's largest component are compared with the others, in blocks. Links leave a block only where they join components.
-Components come from alternating large and small stars over written edge tables.
+bucket's largest component are compared with the others. Comparisons are cut into blocks of bounded numbers and bytes of
+sets (a set beyond that is a block's only one). Links leave a block only where they join components. Joins on buckets,
+sets and components deal hot keys over several tasks.
+Components come from rounds of hooking and contraction over written edge tables.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; rows with a
 null doc_id are linked with nothing and kept, with a null component_id; rows that repeat a doc_id are told apart by their
-sets, and each is kept if doc_id is its component's; an empty table gives no rows.
+sets, and each is kept if doc_id is its component's; an empty table gives no rows. Extra columns, whatever their names, are
+carried by deduplicate().
 """
 
 from __future__ import annotations
@@ -32,9 +35,11 @@ from .slices import SPACE, Hashes, mix
 
 #: Words of a shingle, percent of similarity, rows of a band and bands.
 SHINGLE, PERCENT, ROWS, BANDS = 5, 80, 4, 40
-#: Members in a block of a large group, the most in a group that goes whole, rows of small groups put together, and
-#: columns of a block's matrices.
-LEFT, RIGHT, SMALL, PACK, COLUMNS = 256, 1024, 128, 2000, 2048
+#: Members of either side in a block of a large group, the most in a group that goes whole, rows of small groups put
+#: together, and columns of a block's matrices.
+LEFT, RIGHT, SMALL, PACK, COLUMNS = 256, 512, 128, 500, 2048
+#: Bytes of the sets of either side of a block, of a group that goes whole, and of small groups put together.
+BLOCK_BYTES = 8 << 20
 #: Bytes of text handled at once.
 CHUNK_BYTES = 1 << 20
 
@@ -170,7 +175,7 @@ def _links_of(left: np.ndarray, right: np.ndarray, comps: list[bytes], sets: lis
 
 
 def _compared(table: pa.Table, percent: int) -> pa.Table:
-    """Links in a table of groups: each group's left sets against its right ones."""
+    """Links in a table of groups, between components: each group's left sets against its right ones."""
     a, b = [], []
     group = table.column("group").to_pylist()
     node, comp, raw = (table.column(c).to_pylist() for c in ("node", "comp", "set"))
@@ -186,99 +191,135 @@ def _compared(table: pa.Table, percent: int) -> pa.Table:
         right = np.asarray([k for k, i in enumerate(own) if is_right[i]], np.int64)
         if len(left) and len(right):
             for i, j in _links_of(left, right, [comp[i] for i in own], [np.frombuffer(raw[i], np.uint64) for i in own], percent):
-                a.append(node[own[i]])
-                b.append(node[own[j]])
+                a.append(comp[own[i]])
+                b.append(comp[own[j]])
     return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def _verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between left and right members (group, node, comp, is_left, is_right) of each group. Large groups are
-    cut into blocks of LEFT x RIGHT, small ones are put together."""
-    sizes = members.groupBy("group").agg(F.sum(F.col("is_left").cast("long")).alias("nl"), F.sum(F.col("is_right").cast("long")).alias("nr"))
-    packs = common.partitions_for(members.sparkSession, rows := members.count(), PACK)
-    nl, nr = F.greatest(F.ceil(F.col("nl") / LEFT), F.lit(1)), F.greatest(F.ceil(F.col("nr") / RIGHT), F.lit(1))
-    whole = (nl == 1) & (nr == 1) & (F.col("nl") + F.col("nr") <= SMALL)
-    known = common.join_salted(members, sizes, "group", F.col("nl") + F.col("nr"), rows, F.col("node")).withColumn("own", F.xxhash64("node")).withColumn("whole", whole)
-    block = lambda n: F.pmod(F.col("own"), n)
-    as_left = known.where(F.col("is_left") & ~F.col("whole")).withColumn("is_right", F.lit(False)).withColumn("lb", block(nl)).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), nr - 1)))
-    as_right = known.where(F.col("is_right") & ~F.col("whole")).withColumn("is_left", F.lit(False)).withColumn("rb", block(nr)).withColumn("lb", F.explode(F.sequence(F.lit(0).cast("long"), nl - 1)))
-    small = known.where("whole").withColumn("lb", F.lit(-1).cast("long")).withColumn("rb", F.pmod(F.xxhash64("group"), F.lit(packs)))
-    columns = ["group", "node", "comp", "is_left", "is_right", "lb", "rb"]
-    dealt = small.select(columns).unionByName(as_left.select(columns)).unionByName(as_right.select(columns))
-    dealt = dealt.withColumn("task", F.when(F.col("lb") < 0, F.xxhash64("rb")).otherwise(F.xxhash64("group", "lb", "rb")))
+    """a, b: components linked by left and right members (group, node, comp, n of shingles, is_left, is_right; a written
+    table) of each group. Large groups are cut into blocks, small ones are put together."""
+    of = lambda side, x: F.coalesce(F.sum(F.when(F.col(side), x)), F.lit(0))
+    n, one = F.col("n"), F.lit(1)
+    sizes = members.groupBy("group").agg(F.count(one).alias("size"), *(of(side, x).alias(name) for name, side, x in (("nl", "is_left", one), ("nr", "is_right", one), ("wl", "is_left", n), ("wr", "is_right", n))))
+    rows, shingles = members.agg(F.count(one), F.coalesce(F.sum("n"), F.lit(0))).first()
+    packs = max(common.partitions_for(members.sparkSession, rows, PACK), 4 * common.partitions_for(members.sparkSession, 8 * shingles, BLOCK_BYTES))
+    blocks = lambda count, weight, most: F.greatest(F.ceil(F.col(count) / most), F.ceil(F.col(weight) * 8 / BLOCK_BYTES), F.lit(1).cast("long"))
+    nl, nr = blocks("nl", "wl", LEFT), blocks("nr", "wr", RIGHT)
+    sizes = common.written(sizes.select("group", "size", nl.alias("nl"), nr.alias("nr"), ((nl == 1) & (nr == 1) & (F.col("nl") + F.col("nr") <= SMALL)).alias("whole")), "group-sizes")
+    known = common.join_salted(members, sizes, "group", F.col("size"), rows, F.col("node")).join(sets, "node")
+    # Sets are joined once a member, then go to each of its blocks.
+    own, first, span = F.xxhash64("node"), F.lit(0).cast("long"), lambda x: F.sequence(F.lit(0).cast("long"), x - 1)
+    place = lambda lb, rb, left, right: F.struct(lb.alias("lb"), rb.alias("rb"), left.alias("is_left"), right.alias("is_right"))
+    yes, no = F.lit(True), F.lit(False)
+    as_left = F.when(F.col("is_left"), F.transform(span(F.col("nr")), lambda b: place(F.pmod(own, F.col("nl")), b, yes, no)))
+    as_right = F.when(F.col("is_right"), F.transform(span(F.col("nl")), lambda b: place(b, F.pmod(own, F.col("nr")), no, yes)))
+    as_small = F.array(place(first - 1, F.pmod(F.xxhash64("group"), F.lit(packs)), F.col("is_left"), F.col("is_right")))
+    none = F.array().cast("array<struct<lb:bigint,rb:bigint,is_left:boolean,is_right:boolean>>")
+    places = F.when(F.col("whole"), as_small).otherwise(F.concat(F.coalesce(as_left, none), F.coalesce(as_right, none)))
+    dealt = known.select("group", "node", "comp", "set", F.explode(places).alias("at")).select("group", "node", "comp", "at.*", "set")
+    task = F.when(F.col("lb") < 0, F.xxhash64("rb")).otherwise(F.xxhash64("group", "lb", "rb"))
 
     def compared(table: pa.Table) -> pa.Table:
         return _compared(table, percent)
 
-    return dealt.join(sets, "node").select("task", *columns[:5], "set").groupBy("task").applyInArrow(compared, "a binary, b binary")
+    return dealt.select(task.alias("task"), "group", "node", "comp", "is_left", "is_right", "set").groupBy("task").applyInArrow(compared, "a binary, b binary")
+
+
+def relabelled(labels: DataFrame, newer: DataFrame) -> DataFrame:
+    """labels (node, comp) with comp replaced by that of newer (node, comp) where that has it as a node."""
+    labels = common.written(labels, "labels-before")
+    used = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("uses"))
+    sized = used.join(newer.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left")
+    sized = common.written(sized.select("comp", "uses", F.coalesce("new", "comp").alias("new")), "label-sizes")
+    found = common.join_salted(labels, sized, "comp", F.col("uses"), labels.count(), F.col("node"))
+    return found.select("node", F.col("new").alias("comp"), *(c for c in labels.columns if c not in ("node", "comp")))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp: the least node of each component of links (a, b), by alternating large and small stars, until every
-    node that isn't the least has the least as its only neighbour. Edges are written in each round."""
+    """node, comp: the least node of each component of links (a, b), as a written table. In a round every node hooks to the
+    first of itself and its neighbours, in the order of nodes at first (stars end at once) and then in one that is random in
+    each round, and edges go between what their ends hook to; a part of the nodes is gone after each round. Nodes follow
+    their hooks in the end."""
+    since = common.made()
     edges = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    while True:
-        n, tails = edges.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
-        if n == tails and edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    rounds: list[DataFrame] = []
+    while n := edges.count():
+        at = F.lit(0).cast("long") if not rounds else F.lit(len(rounds)).cast("long")
+        place = lambda c: F.struct((F.xxhash64(c, at) if rounds else at).alias("order"), F.col(c).alias("node"))  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        done = common.written(small, "edges")
+        first = both.groupBy("u").agg(F.min(place("v")).alias("first"), F.count(F.lit(1)).alias("size"))
+        hooks = common.written(first.select(F.col("u").alias("node"), F.least(place("u"), "first")["node"].alias("comp"), "size"), "hooks")
+        rounds.append(hooks)
+        moved = edges
+        for end in ("u", "v"):
+            sized = hooks.select(F.col("node").alias(end), F.col("comp").alias(f"new_{end}"), "size")
+            moved = common.join_salted(moved, sized, end, F.col("size"), n, F.xxhash64("u", "v")).drop("size")
+        moved = moved.select(F.greatest("new_u", "new_v").alias("u"), F.least("new_u", "new_v").alias("v")).where("u != v").distinct()
+        done = common.written(moved, "edges")
         common.discard(edges)
         edges = done
+    labels = (rounds[0] if rounds else links.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0)).select("node", "comp")
+    for hooks in rounds[1:]:
+        labels = relabelled(labels, hooks)
+    labels = common.written(labels, "labels")
+    least = common.written(labels.groupBy("comp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size")), "least")
+    found = common.join_salted(labels, least, "comp", F.col("size"), labels.count(), F.col("node"))
+    return common.finished(found.select("node", F.col("least").alias("comp")), "components", since)
+
+
+def _doc_id(node: str) -> Column:
+    """The doc_id of a node."""
+    first = F.conv(F.hex(F.substring(node, 1, 8)), 16, 10).cast("decimal(20,0)")
+    return (first - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long")
 
 
 def near_duplicates(documents: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, count: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents, and text_hash (xxhash64 of the text) and chosen,
-    which unlike kept holds for one text only of a component with several texts of its least doc_id."""
-    spark = documents.sparkSession
-    common.python_workers(spark)
+    which unlike kept holds for one text only of a component with several texts of its least doc_id; a written table."""
+    since = common.made()
+    common.python_workers(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     sketched = common.written(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(partial(_sketched, shingle=shingle, rows=rows, count=count), "doc_id bigint, text_hash bigint, n_shingles bigint, print binary, bands array<bigint>"), "sketches")
 
     # Classes: documents with the same set. Only one of each is compared.
-    classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("bands").alias("bands"))
-    classes = common.written(classes.select("print", "least.doc_id", "least.text_hash", "bands").withColumn("node", _node("doc_id", "print")), "classes")
+    in_class = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    classes = sketched.where(in_class).groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("size"))
+    classes = common.written(classes.select("print", "least.text_hash", "bands", "n", "size", _node("least.doc_id", "print").alias("node")), "classes")
 
     # Buckets with several classes; of buckets with the same members one is enough.
-    keyed = classes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
-    shape = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
-    chosen = shape.where("n > 1").groupBy("n", "pivot", "sum").agg(F.min("bucket").alias("bucket"))
-    members = common.written(keyed.join(chosen.select("bucket", "pivot"), "bucket"), "members")
+    keyed = classes.select("node", "n", F.posexplode("bands").alias("band", "key")).select("node", "n", F.xxhash64("band", "key").alias("bucket"))
+    shape = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
+    chosen = common.written(shape.where("size > 1").groupBy("size", "pivot", "sum").agg(F.min("bucket").alias("bucket")).select("bucket", "pivot", "size"), "buckets")
+    members = common.written(common.join_salted(keyed, chosen, "bucket", F.col("size"), classes.count() * count, F.col("node")).drop("size"), "members")
 
-    wanted = members.select("node").distinct().join(classes.select("node", "doc_id"), "node").select("doc_id").distinct()
+    wanted = members.select("node").distinct().select(_doc_id("node").alias("doc_id")).distinct()
     sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, shingle=shingle), "doc_id bigint, print binary, set binary")
     sets = common.written(sets.select(_node("doc_id", "print").alias("node"), "set"), "sets")
 
     # First every member against the least of its bucket; that joins most of a group.
-    stars = members.where("node != pivot").select("pivot", "node").distinct()
-    stars = stars.select(F.col("pivot").alias("group"), "node", F.lit(False).alias("is_left")).unionByName(stars.select(F.col("pivot").alias("group"), F.col("pivot").alias("node"), F.lit(True).alias("is_left")).distinct())
-    links = common.written(_verified(stars.select("group", "node", F.col("node").alias("comp"), "is_left", (~F.col("is_left")).alias("is_right")), sets, percent), "links")
-    comps = components(links)
+    stars = members.select(F.col("pivot").alias("group"), "node", F.col("node").alias("comp"), "n", (F.col("node") == F.col("pivot")).alias("is_left")).distinct()
+    stars = common.written(stars.withColumn("is_right", ~F.col("is_left")), "stars")
+    comps = components(_verified(stars, sets, percent))
 
     # Then, in each bucket, those outside its largest component against all members of other components: every pair that
     # is left has one of them.
-    known = common.written(members.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")), "known")
+    known = common.written(members.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"), "n"), "known")
     shares = known.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = shares.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    open_rows = known.join(largest, "bucket").select(F.col("bucket").cast("string").cast("binary").alias("group"), "node", "comp", (F.col("comp") != F.col("largest")).alias("is_left"), F.lit(True).alias("is_right"))
-    more = common.written(_verified(common.written(open_rows, "open"), sets, percent), "links-more")
-    if not more.isEmpty():
-        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
-
-    labels = classes.join(comps, "node", "left").select("print", F.coalesce("comp", "node").alias("comp"), F.when(F.coalesce("comp", "node") == F.col("node"), F.col("text_hash")).alias("chosen_hash"))
-    first = F.conv(F.hex(F.substring("comp", 1, 8)), 16, 10).cast("decimal(20,0)")
-    labels = labels.select("print", "chosen_hash", (first - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long").alias("component"))
-    return (
-        sketched.select("doc_id", "text_hash", "n_shingles", "print").join(labels, "print", "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .withColumn("chosen", F.col("kept") & (F.col("doc_id").isNull() | (F.col("n_shingles") == 0) | (F.col("text_hash").eqNullSafe(F.col("chosen_hash")))))
-        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "chosen")
-    )
+    largest = shares.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"))
+    largest = common.written(largest.where("comps > 1").select("bucket", "largest", "size"), "largest")
+    open_rows = common.join_salted(known, largest, "bucket", F.col("size"), known.count(), F.col("node"))
+    open_rows = open_rows.select(F.col("bucket").cast("string").cast("binary").alias("group"), "node", "comp", "n", (F.col("comp") != F.col("largest")).alias("is_left"), F.lit(True).alias("is_right"))
+    more = components(_verified(common.written(open_rows, "open"), sets, percent))
+
+    labels = classes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "print", "text_hash", "size")
+    labels = relabelled(labels, more).select("print", "size", _doc_id("comp").alias("component_id"), F.when(F.col("comp") == F.col("node"), F.col("text_hash")).alias("chosen_hash"))
+    labels = common.written(labels, "labels")
+    found = common.join_salted(sketched.where(in_class).drop("bands"), labels, "print", F.col("size"), sketched.count(), F.xxhash64("doc_id", "text_hash"))
+    found = found.withColumn("kept", F.col("doc_id") == F.col("component_id")).withColumn("chosen", F.col("kept") & F.col("text_hash").eqNullSafe(F.col("chosen_hash")))
+    alone = sketched.where(~in_class).withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).withColumn("kept", F.lit(True)).withColumn("chosen", F.lit(True))
+    columns = ["doc_id", "n_shingles", "component_id", "kept", "text_hash", "chosen"]
+    return common.finished(found.select(columns).unionByName(alone.select(columns)), "near-duplicates", since)
 
 
 def deduplicate(documents: DataFrame, **parameters: int) -> DataFrame:
