@@ -28,6 +28,11 @@ NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-įı-ȹȻ-Ƚȿ-ɏ]")
 #: Fixed value: how byte-level BPE cuts a text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: A run of white space that is cut off before a text is matched: the pattern looks ahead behind it, for which the matcher
+#: goes back over the whole run, and gives up beyond about a million characters.
+LONG_BLANKS = 100_000
+BLANKS = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_BLANKS},}}")
+
 #: Runs kept, in two generations of this size each, besides as many words, and the longest kept: about 90 MB.
 CACHE_UNITS = 160_000
 LONGEST_UNIT = 48
@@ -66,11 +71,23 @@ class ByteEncoder:
             raise ValueError("a byte-level tokenizer whose ids follow its merges is needed")
         special = {t["content"] for t in tokenizer["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        self._encode = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        encoding = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._encode, self._piece = encoding.encode_to_numpy, encoding._encode_single_piece
+
+    def _plain(self, text: str) -> bytes:
+        return self._encode(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
-        return self._encode(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if len(text) < LONG_BLANKS:
+            return self._plain(text)
+        # By the pattern a run is a piece, without its last character where something follows.
+        found, at = [], 0
+        for run in BLANKS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            found += [self._plain(text[at : run.start()]), np.asarray(self._piece(text[run.start() : end].encode()), "<u4").tobytes()]
+            at = end
+        return b"".join([*found, self._plain(text[at:])])
 
 
 class WordEncoder:
