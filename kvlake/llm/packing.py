@@ -7,7 +7,8 @@ those below it). A group whose sequences equal its bound is certified and passes
 with a gap passes on every sequence that isn't full. What was passed on is dealt out again, whole sequences at a time, to
 fewer groups, so that documents of different groups meet; there best-fit decreasing runs again, and its result replaces
 the old sequences only where it has fewer of them. Groups stay small enough for a worker (MOST_PIECES). Rounds end when
-nothing was saved, one group is left or ROUNDS are over.
+nothing was saved, one group is left or ROUNDS are over. Each piece tells whether its last group was certified, and
+certificate() gives the bound for all pieces together.
 
 Defined cases: a null text is empty and is the end id alone; documents that repeat a doc_id are pieces of their own, told
 apart by an order of their texts' hashes; an empty table gives no rows.
@@ -38,7 +39,7 @@ ROUNDS = 6
 NO_ID = -(2**63)
 
 PIECE = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-PLACED = f"{PIECE}, sequence_id bigint, offset bigint, passed_on boolean, saved bigint"
+PLACED = f"{PIECE}, sequence_id bigint, offset bigint, passed_on boolean, saved bigint, certified boolean"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], *, vocabulary: str, kind: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -80,9 +81,13 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The most sequences that a dual feasible function proves necessary. With threshold t up to half the capacity,
-    pieces over capacity - t take a whole sequence, pieces below t none, and the others their length."""
-    counts = np.bincount(lengths, minlength=capacity + 1)
+    """The most sequences that a dual feasible function proves necessary."""
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of(counts: np.ndarray, capacity: int) -> int:
+    """The same for numbers of pieces by length. With threshold t up to half the capacity, pieces over capacity - t take a
+    whole sequence, pieces below t none, and the others their length."""
     number, total = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
     t = np.arange(capacity // 2 + 1)
     below = np.maximum(t - 1, 0)
@@ -107,16 +112,16 @@ def _place(pdf: pd.DataFrame, *, capacity: int, number: int) -> pd.DataFrame:
         out_ids = (number << 56) + (int(pdf["group"].iloc[0]) << 24) + np.arange(n, dtype=np.int64)
     pdf["sequence_id"] = out_ids[sequence]
     filled = np.bincount(sequence, weights=lengths, minlength=n)
-    if n > lower_bound(lengths, capacity):
-        passed = filled < capacity
-    else:
-        passed = (np.arange(n) == np.argmin(filled)) & (filled < capacity)
+    pdf["certified"] = certified = n <= lower_bound(lengths, capacity)
+    passed = filled < capacity
+    if certified:
+        passed &= np.arange(n) == np.argmin(filled)
     pdf["passed_on"] = passed[sequence]
     return pdf[[c.split()[0] for c in PLACED.split(", ")]]
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (the columns of PIECE; a written table)."""
+    """Adds sequence_id, offset and certified to pieces (the columns of PIECE; a written table)."""
     common.python_workers(pieces.sparkSession)
     rows = pieces.count()
     pieces = pieces.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))  # pandas would turn ids with nulls into doubles
@@ -140,10 +145,20 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             break
         # Where most is passed on, groups don't get fewer for ever: they must fit a worker, and each round deals anew.
         groups = max(-(-last[0] // MOST_PIECES), min(groups // FEWER, -(-last[0] // GROUP_PIECES)), 1)
-        open_rows = placed.where("passed_on").drop("passed_on", "saved").withColumn("group", F.pmod(F.xxhash64("sequence_id", F.lit(number)), F.lit(groups)))
+        open_rows = placed.where("passed_on").drop("passed_on", "saved", "certified").withColumn("group", F.pmod(F.xxhash64("sequence_id", F.lit(number)), F.lit(groups)))
     return final.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))).drop("passed_on", "saved")
 
 
+def certificate(packed: DataFrame, *, capacity: int = CAPACITY) -> tuple[int, int]:
+    """How many sequences there are, and the fewest that the dual feasible functions prove necessary: they need the number
+    of pieces of each length only, which are no more than capacity rows."""
+    sizes = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    lengths = np.zeros(capacity + 1, np.int64)
+    for r in sizes:
+        lengths[r["length"]] = r["n"]
+    return packed.select("sequence_id").distinct().count(), bound_of(lengths, capacity)
+
+
 def pieces_of(documents: DataFrame, *, vocabulary: str, kind: str = "word", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of documents (doc_id, text), as a written table."""
     common.python_workers(documents.sparkSession)
@@ -152,7 +167,10 @@ def pieces_of(documents: DataFrame, *, vocabulary: str, kind: str = "word", end_
 
 
 def pack_documents(documents: DataFrame, *, vocabulary: str, kind: str = "word", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    return pack(pieces_of(documents, vocabulary=vocabulary, kind=kind, end_id=end_id, capacity=capacity), capacity=capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """The pieces of documents and their places, as a written table."""
+    since = common.made()
+    packed = pack(pieces_of(documents, vocabulary=vocabulary, kind=kind, end_id=end_id, capacity=capacity), capacity=capacity)
+    return common.finished(packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"), "packed", since)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
