@@ -15,7 +15,7 @@ hashes of each other are added in turn. Everything is SQL expressions: a single
 task, values in arrays beside it. Whether a value is hot doesn't matter.
 
 Defined cases: a null text stays null and has no values; an empty one stays empty; rows are independent, repeated or not;
-null ids and extra columns are carried.
+null ids and extra columns are carried, those with a result's name under another one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -370,8 +370,9 @@ def _treated(m: Column, key: str) -> Column:
 
 def pseudonymised(documents: DataFrame, *, key: str = KEY, text_col: str = "text") -> DataFrame:
     """documents with pseudonyms in text_col and, behind it, n_private (values replaced) and private_kinds (of each)."""
+    documents = common.set_aside(documents, "n_private", "private_kinds")
     text = F.col(f"`{text_col}`")
-    rest = [F.col(f"`{c}`") for c in documents.columns if c not in ("n_private", "private_kinds")]
+    rest = [F.col(f"`{c}`") for c in documents.columns]
     at_pattern, at_found, at_made = (common.unused(documents, c) for c in ("_pattern", "_found", "_made"))
     with_email = F.contains(text, F.lit("@"))
     at_ibans, at_cards = (common.unused(documents, c) for c in ("_ibans", "_cards"))
@@ -392,7 +393,7 @@ def pseudonymised(documents: DataFrame, *, key: str = KEY, text_col: str = "text
     kinds = F.filter(F.transform(at_made, lambda m: m["kind"]), lambda k: k.isNotNull())
     new_text = F.when(F.col(at_made).isNotNull(), joined).otherwise(text)
     return rows.select(
-        *(new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns if c not in ("n_private", "private_kinds")),
+        *(new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns),
         F.coalesce(F.size(kinds), F.lit(0)).cast("bigint").alias("n_private"), F.coalesce(kinds, F.array().cast("array<string>")).alias("private_kinds"),
     )
 

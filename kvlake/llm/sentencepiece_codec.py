@@ -9,7 +9,8 @@ A text is cut into units before characters where no piece can reach across: piec
 start, and characters outside the vocabulary stand alone. A bounded cache keeps units and compatible pairs.
 
 Defined cases: a null text is empty; an empty text has no ids (besides an end id that is asked for); control strings in
-a text are ordinary text; decode() gives U+FFFD for each invalid byte, as the library does.
+a text are ordinary text; decode() gives U+FFFD for each invalid byte, as the library does; rows may repeat, and an empty
+table gives no rows; a column that has the name of a result's is kept under another name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import common
 
@@ -194,8 +195,9 @@ def _encode(batches: Iterator[pa.RecordBatch], *, model: str, text_col: str, end
 def encode(df: DataFrame, *, model: str, text_col: str = "text", end: bool = False) -> DataFrame:
     """df with a column ids (array<int>), the tokens of text_col."""
     common.python_workers(df.sparkSession)
-    schema = df.drop("ids").schema.add("ids", ArrayType(IntegerType()))
-    return df.drop("ids").mapInArrow(partial(_encode, model=model, text_col=text_col, end=end), schema)
+    df = common.set_aside(df, "ids")
+    schema = StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType()))])
+    return df.mapInArrow(partial(_encode, model=model, text_col=text_col, end=end), schema)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], *, model: str, ids_col: str) -> Iterator[pa.RecordBatch]:
@@ -208,8 +210,9 @@ def _decode(batches: Iterator[pa.RecordBatch], *, model: str, ids_col: str) -> I
 def decode(df: DataFrame, *, model: str, ids_col: str = "ids") -> DataFrame:
     """df with a column decoded, the text of the tokens in ids_col (null: empty)."""
     common.python_workers(df.sparkSession)
-    schema = df.drop("decoded").schema.add("decoded", "string")
-    return df.drop("decoded").mapInArrow(partial(_decode, model=model, ids_col=ids_col), schema)
+    df = common.set_aside(df, "decoded")
+    schema = StructType([*df.schema.fields, StructField("decoded", StringType())])
+    return df.mapInArrow(partial(_decode, model=model, ids_col=ids_col), schema)
 
 
 def _digests(batches: Iterator[pa.RecordBatch], *, model: str) -> Iterator[pa.RecordBatch]:

@@ -118,8 +118,8 @@ def count_tokens(files: DataFrame, folder: str, *, separator: int = SEPARATOR, w
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens (without the separator) of all documents, counted from flat files of their tokens."""
-    folder = common.scratch(spark, "tokens")
+    folder, since = common.scratch(spark, "tokens"), common.made()
     held = write_tokens(common.table(spark, sf_dir, "documents"), folder, vocabulary=bpe.byte_vocabulary())
     counts = count_tokens(held, folder).where("complete")  # the separators are written: the files may go
     common.remove(spark, folder)
-    return held.join(counts, ["file", "number"]).select("doc_id", "n_tokens")
+    return common.finished(held.join(counts, ["file", "number"]).select("doc_id", "n_tokens"), "token-counts", since)
