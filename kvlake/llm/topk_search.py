@@ -3,8 +3,8 @@
 Each vector is cut into LISTS slices of its components. A query's score for a vector is the sum of the slices' partial
 scores; a slice's partial scores of all vectors are one of the query's lists. Lists are apart, and each is held in blocks of
 vectors: a task has one slice of the vectors of a block.
-  1. Each block of a list sends its k largest partial scores. The k largest of each list are candidates, whose scores are
-     made in full; the k-th largest of these is a score that at least k vectors reach.
+  1. Each block of a list sends its largest partial scores, all blocks together 2 k of a list and one each at least. These
+     are candidates, whose scores are made in full; the k-th largest of them is a score that at least k vectors reach.
   2. A list's share of that score is the cutoff that goes out with the queries: a vector whose partial scores are all below
      it is below the score. Each list sends its entries that reach the cutoff. An entry that wasn't sent is below the
      cutoff, which bounds sums from above.
@@ -39,9 +39,9 @@ LISTS = 2
 BLOCK, QUERIES, PAIRS = 4096, 512, 1 << 16
 #: Below every score that counts.
 NONE = -(2**63)
-#: Sent entries of a list: the block's queries with their scores of the first phase, and query, vector and partial score of
-#: each entry, as packed 64-bit integers.
-ENTRIES = "dim int, block int, vector_block int, list int, query_ids binary, kth binary, q binary, v binary, s binary"
+#: Sent entries of a list: ids of the blocks' queries and vectors, the queries' scores of the first phase (packed 64-bit
+#: integers), and each entry's place among the queries, place among the vectors and partial score (see _packed).
+ENTRIES = "dim int, block int, vector_block int, list int, query_ids binary, vector_ids binary, kth binary, q binary, v binary, s binary"
 
 
 def _smallest(values: np.ndarray) -> np.ndarray:
@@ -52,6 +52,16 @@ def _smallest(values: np.ndarray) -> np.ndarray:
     return values
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Integers in the fewest bytes, behind their width."""
+    small = _smallest(values)
+    return bytes([small.itemsize]) + small.tobytes()
+
+
+def _loose(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<i{packed[0]}", offset=1).astype(np.int64)
+
+
 def _blocks(vectors: DataFrame, lists: int, blocks: int) -> DataFrame:
     """Blocks of vectors of the same length, by slices: dim, block, list, ids, values (packed integers of width bytes), and
     more columns of vectors, packed."""
@@ -107,26 +117,21 @@ def _products(q: np.ndarray, v: np.ndarray, lists: int) -> np.ndarray:
     return (q.astype(kind) @ v.astype(kind).T).astype(np.int64)
 
 
-def _first_phase(batches: Iterator[pa.RecordBatch], *, k: int, lists: int) -> Iterator[pa.RecordBatch]:
-    """query_id, list, vec_ids and partials: a block's k largest partial scores, without the query's own vector."""
+def _first_phase(batches: Iterator[pa.RecordBatch], *, most: int, lists: int) -> Iterator[pa.RecordBatch]:
+    """query_id, vec_ids of a block's largest partial scores, without the query's own vector."""
     for batch in batches:
         for row in batch.to_pylist():
             (qi, q), (vi, v) = _unpacked(row), _unpacked(row, "vector_")
             partial = _products(q, v, lists)
             partial[qi[:, None] == vi[None, :]] = NONE
-            n = min(k, len(vi))
-            top = np.argpartition(partial, len(vi) - n, axis=1)[:, len(vi) - n :]
-            found = np.take_along_axis(partial, top, axis=1)
-            out = []
-            for i in range(len(qi)):
-                fine = found[i] > NONE
-                out.append((int(qi[i]), row["list"], vi[top[i][fine]].tolist(), found[i][fine].tolist()))
-            yield _batch(out, ["query_id", "list", "vec_ids", "partials"], [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())])
+            n = min(most, len(vi))
+            top = vi[np.argpartition(partial, len(vi) - n, axis=1)[:, len(vi) - n :]]
+            out = [(q, [v for v in own if v != q]) for q, own in zip(qi.tolist(), top.tolist(), strict=True)]
+            yield _batch(out, ["query_id", "vec_ids"], [pa.int64(), pa.list_(pa.int64())])
 
 
 def _entries(row: dict, q: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    same = [row[c] for c in ("dim", "block", "vector_block", "list")]
-    values = [*same, row["ids"], row["kth"], *(np.ascontiguousarray(x, np.int64).tobytes() for x in (q, v, s))]
+    values = [*(row[c] for c in ("dim", "block", "vector_block", "list", "ids", "vector_ids", "kth")), *map(_packed, (q, v, s))]
     names = [c.split()[0] for c in ENTRIES.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if i < 4 else pa.binary()) for i, x in enumerate(values)], names=names)
 
@@ -138,7 +143,7 @@ def _second_phase(batches: Iterator[pa.RecordBatch], *, lists: int) -> Iterator[
             (qi, q), (vi, v) = _unpacked(row), _unpacked(row, "vector_")
             partial = _products(q, v, lists)
             a, b = np.nonzero((partial >= _cutoff(np.frombuffer(row["kth"], np.int64), lists)[:, None]) & (qi[:, None] != vi[None, :]))
-            yield _entries(row, qi[a], vi[b], partial[a, b])
+            yield _entries(row, a, b, partial[a, b])
 
 
 def _cutoff(kth: np.ndarray, lists: int) -> np.ndarray:
@@ -147,13 +152,14 @@ def _cutoff(kth: np.ndarray, lists: int) -> np.ndarray:
 
 
 class _Pairs:
-    """The pairs of a block of queries and a block of vectors of which entries were sent."""
+    """The pairs of a block of queries and a block of vectors of which entries were sent, as places in the blocks."""
 
     def __init__(self, table: pa.Table, lists: int):
         rows = table.to_pylist()
         self.first = rows[0]
-        q, v, s = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("q", "v", "s"))
-        at = np.repeat([r["list"] for r in rows], [len(r["q"]) // 8 for r in rows])
+        sent = [[_loose(r[c]) for c in ("q", "v", "s")] for r in rows]
+        q, v, s = (np.concatenate(x) for x in zip(*sent, strict=True))
+        at = np.repeat([r["list"] for r in rows], [len(x[0]) for x in sent])
         order = np.lexsort((at, v, q))
         q, v, s, at = q[order], v[order], s[order], at[order]
         new = np.ones(len(q), bool)
@@ -163,8 +169,8 @@ class _Pairs:
         self.known = np.zeros((lists, len(begin)), bool)
         self.known[at, np.cumsum(new) - 1] = True
         self.sum = np.add.reduceat(s, begin) if len(begin) else s
-        ids = np.frombuffer(self.first["query_ids"], np.int64)
-        self.kth = np.frombuffer(self.first["kth"], np.int64)[np.searchsorted(ids, self.q)]
+        self.query_ids, self.vector_ids, kth = (np.frombuffer(self.first[c], np.int64) for c in ("query_ids", "vector_ids", "kth"))
+        self.kth = kth[self.q]
 
 
 def _missing(table: pa.Table, *, lists: int) -> pa.Table:
@@ -173,7 +179,7 @@ def _missing(table: pa.Table, *, lists: int) -> pa.Table:
     unsent = lists - p.known.sum(axis=0)
     # An entry that wasn't sent is less than the cutoff. Without a score of the first phase all were sent.
     reach = (unsent > 0) & (p.sum + unsent * (_cutoff(p.kth, lists) - 1) >= p.kth)
-    rows = [(p.first["dim"], p.first["block"], p.first["vector_block"], j, p.q[want].tobytes(), p.v[want].tobytes()) for j in range(lists) if (want := reach & ~p.known[j]).any()]
+    rows = [(p.first["dim"], p.first["block"], p.first["vector_block"], j, _packed(p.q[want]), _packed(p.v[want])) for j in range(lists) if (want := reach & ~p.known[j]).any()]
     kinds = [pa.int32()] * 4 + [pa.binary()] * 2
     columns = list(zip(*rows, strict=True)) or [()] * 6
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["dim", "block", "vector_block", "list", "q", "v"])
@@ -183,12 +189,12 @@ def _third_phase(batches: Iterator[pa.RecordBatch], *, lists: int) -> Iterator[p
     """Entries (ENTRIES) of the pairs that were looked up."""
     for batch in batches:
         for row in batch.to_pylist():
-            (qi, q), (vi, v) = _unpacked(row), _unpacked(row, "vector_")
-            a, b = (np.frombuffer(row[c], np.int64) for c in ("q", "v"))
+            (_, q), (_, v) = _unpacked(row), _unpacked(row, "vector_")
+            a, b = _loose(row["q"]), _loose(row["v"])
             kind, s = _safe(q, v, lists), np.empty(len(a), np.int64)
             for at in range(0, len(a), PAIRS):
                 own = slice(at, at + PAIRS)
-                s[own] = np.einsum("ij,ij->i", q[np.searchsorted(qi, a[own])].astype(kind), v[np.searchsorted(vi, b[own])].astype(kind))
+                s[own] = np.einsum("ij,ij->i", q[a[own]].astype(kind), v[b[own]].astype(kind))
             yield _entries(row, a, b, s)
 
 
@@ -196,7 +202,7 @@ def _best(table: pa.Table, *, k: int, lists: int) -> pa.Table:
     """query_id, vec_ids, scores: a block's k best of the pairs that are complete."""
     p = _Pairs(table, lists)
     full = p.known.all(axis=0) & (p.sum >= p.kth)
-    q, v, s = p.q[full], p.v[full], p.sum[full]
+    q, v, s = p.query_ids[p.q[full]], p.vector_ids[p.v[full]], p.sum[full]
     order = np.lexsort((v, -s, q))
     q, v, s = q[order], v[order], s[order]
     edge = np.flatnonzero(np.diff(q, prepend=q[:1] - 1, append=q[-1:] + 1)) if len(q) else []
@@ -209,17 +215,12 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def _ranked(entries: DataFrame, k: int, *by: str) -> DataFrame:
-    """The k best scores for each query (and by), with rank."""
-    best = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id")
+def _ranked(entries: DataFrame, k: int) -> DataFrame:
+    """The k best scores for each query, with rank."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return entries.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _exploded(sent: DataFrame, scores: str, *by: str) -> DataFrame:
-    entries = sent.select("query_id", *by, F.explode(F.arrays_zip("vec_ids", scores)).alias("e"))
-    return entries.select("query_id", *by, F.col("e.vec_ids").alias("vec_id"), F.col(f"e.{scores}").alias("score"))
-
-
 def search(queries: DataFrame, vectors: DataFrame, *, k: int = K, lists: int = LISTS) -> DataFrame:
     """query_id, rank, vec_id, score for queries and vectors of vec_id bigint and v array<bigint>, with distinct ids; a
     written table."""
@@ -230,10 +231,10 @@ def search(queries: DataFrame, vectors: DataFrame, *, k: int = K, lists: int = L
     held = common.written(_blocks(vectors, lists, blocks), "vector-blocks")
 
     def first(batches):
-        return _first_phase(batches, k=k, lists=lists)
+        return _first_phase(batches, most=-(-2 * k // blocks), lists=lists)
 
-    local = _met(_blocks(queries, lists, query_blocks), held, blocks, lists).mapInArrow(first, "query_id bigint, list int, vec_ids array<bigint>, partials array<bigint>")
-    candidates = _ranked(_exploded(common.written(local, "first"), "partials", "list"), k, "list").select("query_id", "vec_id").distinct()
+    local = _met(_blocks(queries, lists, query_blocks), held, blocks, lists).mapInArrow(first, "query_id bigint, vec_ids array<bigint>")
+    candidates = local.select("query_id", F.explode("vec_ids").alias("vec_id")).distinct()
     score = F.aggregate(F.zip_with("qv", "vv", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     known = candidates.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id").join(vectors.select("vec_id", F.col("v").alias("vv")), "vec_id")
     kth = _ranked(known.select("query_id", "vec_id", score.alias("score")), k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
@@ -259,7 +260,8 @@ def search(queries: DataFrame, vectors: DataFrame, *, k: int = K, lists: int = L
     places = wanted.join(asked, ["dim", "block", "list"]).join(_renamed(held), ["dim", "vector_block", "list"])
     resolved = common.written(places.mapInArrow(third, ENTRIES), "third")
     found = sent.unionByName(resolved).groupBy(*pairs).applyInArrow(best, "query_id bigint, vec_ids array<bigint>, scores array<bigint>")
-    return common.finished(_ranked(_exploded(found, "scores"), k).select("query_id", "rank", "vec_id", "score"), "top", since)
+    entries = found.select("query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("e")).select("query_id", F.col("e.vec_ids").alias("vec_id"), F.col("e.scores").alias("score"))
+    return common.finished(_ranked(entries, k).select("query_id", "rank", "vec_id", "score"), "top", since)
 
 
 def quantised(embeddings: DataFrame, *, scale: int = 64) -> DataFrame:
