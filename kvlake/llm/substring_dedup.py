@@ -8,11 +8,16 @@ meet their document again as ranges of words.
 
 Skew: of equal super-k-mers in a chunk of documents only that of the smallest doc_id travels; the windows of the others
 are decided on the spot. A passage in any number of documents therefore reaches its bucket at most once a chunk.
+Minimisers are counted first: each task keeps the frequent ones of its texts (Misra and Gries), and those that hold more
+than HOT_BUCKETS buckets' worth of windows are hot. Windows of a hot minimiser are told apart further, by their second
+least hash, and such a bucket is dealt over SALTS groups, each of which sends on only the windows that it leaves; so
+neither a common run of words nor a passage that is everywhere makes a group large.
 Texts longer than a chunk are cut into segments that share K - 1 words.
 
 Defined cases: null and empty texts have no words; documents with fewer than K words lose nothing; rows with a null
 doc_id take no part and lose nothing; rows that repeat a doc_id don't remove each other's words, and are told apart by
-their texts; repeats within one document stay, unless a smaller doc_id has them too.
+their texts; repeats within one document stay, unless a smaller doc_id has them too. Columns besides doc_id and text, whatever
+their names, take no part.
 """
 
 from __future__ import annotations
@@ -25,19 +30,24 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .slices import SPACE, Hashes, gather, same_slices
+from .slices import SPACE, Hashes, gather, mix, same_slices
 
 K = 13
 GRAM = 3
 #: Bytes of text handled at once, and text bytes for each bucket.
 CHUNK_BYTES = 1 << 22
+BUCKET_BYTES = 4 << 20
 #: Of the compression of packed strings.
 LEVEL = 6
-BUCKET_BYTES = 4 << 20
+#: Buckets' worth of windows beyond which a minimiser is hot, the least share of all windows that this may be, and groups
+#: over which a bucket of hot minimisers is dealt. There are no more than 2 / HOT_SHARE hot minimisers, 1.6 MB of hashes.
+HOT_BUCKETS, HOT_SHARE, SALTS = 2, 1e-5, 64
+
 
 def _min_of(values: np.ndarray, width: int) -> np.ndarray:
     """Minima of all runs of width values, by doubling."""
@@ -49,6 +59,18 @@ def _min_of(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
+def _second_of(values: np.ndarray, width: int) -> np.ndarray:
+    """The least value but the minimum of all runs of width values; the largest number where a run has one value only."""
+    least, second, covered = values, np.full(len(values), np.iinfo(np.uint64).max), 1
+    while covered < width:
+        step = min(covered, width - covered)
+        sides = (least[:-step], second[:-step]), (least[step:], second[step:])
+        least = np.minimum(sides[0][0], sides[1][0])
+        second = np.minimum(*(np.where(a > least, a, b) for a, b in sides))
+        covered += step
+    return second
+
+
 def _segments(text: bytes, k: int) -> Iterator[tuple[int, bytes]]:
     """(index of the first word, text) of parts of about CHUNK_BYTES that share k - 1 words."""
     first, at = 0, 0
@@ -73,9 +95,10 @@ def _segments(text: bytes, k: int) -> Iterator[tuple[int, bytes]]:
 
 
 class _Chunk:
-    """Segments of documents, as one buffer of words with a blank behind each."""
+    """Segments of documents, as one buffer of words with a blank behind each, and their super-k-mers: runs (first window,
+    number of windows), the minimiser of each, whether it is hot, and its place (what gives the bucket)."""
 
-    def __init__(self, segments: list[tuple[int, int, int, bytes]], k: int):
+    def __init__(self, segments: list[tuple[int, int, int, bytes]], k: int, hot: np.ndarray):
         ids, crcs, firsts, texts = zip(*segments, strict=True)
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         space = SPACE[raw]
@@ -95,7 +118,8 @@ class _Chunk:
         self.word = np.arange(len(start)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(np.asarray(firsts), counts)
         n = len(start) - k + 1
         self.runs = (np.zeros(0, np.int64),) * 2
-        self.minimiser = np.zeros(0, np.uint64)
+        self.minimiser = self.place = np.zeros(0, np.uint64)
+        self.hot = np.zeros(0, bool)
         if n <= 0:
             return
         self.bytes = Hashes(self.buf)
@@ -103,12 +127,15 @@ class _Chunk:
         grams = Hashes(words)(np.arange(len(words) - GRAM + 1), np.arange(GRAM, len(words) + 1))
         least = _min_of(grams, k - GRAM + 1)
         valid = self.segment[:n] == self.segment[k - 1 :]
+        is_hot, place = np.isin(least, hot) if len(hot) else np.zeros(n, bool), least
+        if is_hot.any():
+            place = np.where(is_hot, mix(least ^ mix(_second_of(grams, k - GRAM + 1))), least)
         new = np.ones(n, bool)
-        new[1:] = (least[1:] != least[:-1]) | (self.segment[1:n] != self.segment[: n - 1]) | ~valid[:-1]
+        new[1:] = (least[1:] != least[:-1]) | (place[1:] != place[:-1]) | (self.segment[1:n] != self.segment[: n - 1]) | ~valid[:-1]
         first = np.flatnonzero(new & valid)
         stop = np.concatenate((np.flatnonzero(new | ~valid), [n]))
         self.runs = first, stop[np.searchsorted(stop, first, side="right")] - first  # first window, windows
-        self.minimiser = least[first]
+        self.minimiser, self.place, self.hot = least[first], place[first], is_hot[first]
 
 
 def _packed(ids: np.ndarray, crcs: np.ndarray, words: np.ndarray, counts: np.ndarray, text: bytes) -> bytes:
@@ -130,9 +157,12 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return *found, raw[at:]
 
 
-def _super_k_mers(segments: list[tuple[int, int, int, bytes]], k: int, buckets: int) -> list[tuple[int, bool, bytes]]:
-    """(bucket, decided, packed): super-k-mers for the buckets, and ranges of words decided on the spot."""
-    c = _Chunk(segments, k)
+NO_MINIMISER = np.zeros(0, np.uint64)
+
+
+def _super_k_mers(segments: list[tuple[int, int, int, bytes]], k: int, buckets: int, hot: np.ndarray = NO_MINIMISER) -> list[tuple[int, bool, bytes, bool]]:
+    """(bucket, decided, packed, hot): super-k-mers for the buckets, and ranges of words decided on the spot."""
+    c = _Chunk(segments, k, hot)
     first, windows = c.runs
     if not len(first):
         return []
@@ -147,23 +177,20 @@ def _super_k_mers(segments: list[tuple[int, int, int, bytes]], k: int, buckets:
     done, sent = later[known], later[~known]
     out = []
     if len(done):
-        out.append((int(ids[done[0]] % buckets), True, _packed(ids[done], crcs[done], c.word[first[done]], windows[done] + k - 1, b"")))
-    bucket = (c.minimiser[sent] % np.uint64(buckets)).astype(np.int64)
+        out.append((int(ids[done[0]] % buckets), True, _packed(ids[done], crcs[done], c.word[first[done]], windows[done] + k - 1, b""), False))
+    bucket = (c.place[sent] % np.uint64(buckets)).astype(np.int64) * 2 + c.hot[sent]
     sent, bucket = sent[by := np.lexsort((sent, bucket))], bucket[by]
     text = gather(c.buf, start[sent], size[sent] + 1)
     text_end = np.cumsum(size[sent] + 1)
     edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         own = sent[a:b]
-        out.append((int(bucket[a]), False, _packed(ids[own], crcs[own], c.word[first[own]], windows[own] + k - 1, text[(text_end[a - 1] if a else 0) : text_end[b - 1]].tobytes())))
+        out.append((int(bucket[a]) // 2, False, _packed(ids[own], crcs[own], c.word[first[own]], windows[own] + k - 1, text[(text_end[a - 1] if a else 0) : text_end[b - 1]].tobytes()), bool(bucket[a] % 2)))
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch], *, k: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    def packed(segments):
-        rows = _super_k_mers(segments, k, buckets)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "decided", "packed"])
-
+def _chunks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """Segments (doc_id, crc, first word, text) of about CHUNK_BYTES together."""
     held, size = [], 0
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -173,13 +200,53 @@ def _cut(batches: Iterator[pa.RecordBatch], *, k: int, buckets: int) -> Iterator
                 held.append((doc_id, crc, first, part))
                 size += len(part)
                 if size >= CHUNK_BYTES:
-                    yield packed(held)
+                    yield held
                     held, size = [], 0
     if held:
-        yield packed(held)
+        yield held
+
+
+def _cut(batches: Iterator[pa.RecordBatch], *, k: int, buckets: int, hot: np.ndarray = NO_MINIMISER) -> Iterator[pa.RecordBatch]:
+    """bucket, salt (below 0 where no minimiser is hot), decided, packed."""
+    task = TaskContext.get()
+    part = task.partitionId() if task else 0
+    for number, segments in enumerate(_chunks(batches, k)):
+        rows = _super_k_mers(segments, k, buckets, hot)
+        salt = (part + number) % SALTS
+        columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([salt if r[3] else -1 for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "salt", "decided", "packed"])
+    common.release_memory()
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], *, k: int, most: int) -> Iterator[pa.RecordBatch]:
+    """minimiser, windows: the number of windows of minimisers in a task's texts, and of all with a null minimiser. No more
+    than most are kept: beyond that the next one's number is taken off all, so that what is missing from any number is
+    less than the windows divided by most."""
+    values, numbers, total = NO_MINIMISER, np.zeros(0, np.int64), 0
+    for segments in _chunks(batches, k):
+        c = _Chunk(segments, k, NO_MINIMISER)
+        total += int(c.runs[1].sum())
+        values, at = np.unique(np.concatenate((values, c.minimiser)), return_inverse=True)
+        numbers = np.bincount(at, weights=np.concatenate((numbers, c.runs[1])), minlength=len(values)).astype(np.int64)
+        if len(values) > most:
+            numbers = numbers - np.partition(numbers, len(numbers) - most - 1)[len(numbers) - most - 1]
+            values, numbers = values[numbers > 0], numbers[numbers > 0]
+    yield pa.RecordBatch.from_arrays([pa.array([*values.view(np.int64).tolist(), None], pa.int64()), pa.array([*numbers.tolist(), total], pa.int64())], names=["minimiser", "windows"])
     common.release_memory()
 
 
+def hot_minimisers(rows: DataFrame, k: int, buckets: int) -> np.ndarray:
+    """Every minimiser with more than HOT_BUCKETS buckets' share of the windows of rows (doc_id, text), and perhaps some
+    with half of that."""
+    share = max(HOT_BUCKETS / buckets, HOT_SHARE)
+    counted = rows.mapInArrow(partial(_frequent, k=k, most=int(4 / share) + 1), "minimiser bigint, windows bigint")
+    counted = common.written(counted.groupBy("minimiser").agg(F.sum("windows").alias("windows")), "minimisers")
+    total = counted.where("minimiser IS NULL").select("windows").first()
+    found = counted.where(F.col("minimiser").isNotNull() & (F.col("windows") > (total[0] if total else 0) * share / 2)).collect()
+    common.discard(counted)
+    return np.asarray([r["minimiser"] for r in found], np.int64).view(np.uint64)
+
+
 def _word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of words, a block of the buffer at a time, as they take several times its memory."""
     found, at = np.empty(len(start), np.uint64), 0
@@ -191,9 +258,10 @@ def _word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return found
 
 
-def _repeats(table: pa.Table, k: int) -> pa.Table:
-    """Ranges of words of a bucket's windows that a smaller doc_id has."""
-    ranges = [np.zeros((4, 0), np.int64)]
+def _judged(table: pa.Table, k: int, *, pass_on: bool) -> tuple[np.ndarray, bytes | None]:
+    """Ranges of words (doc_id, crc, lo, hi) of a bucket's windows that a smaller doc_id has; and the others as packed
+    super-k-mers, if they are to be passed on."""
+    ranges, left = [np.zeros((4, 0), np.int64)], None
     ids, crcs, words, counts, texts = [], [], [], [], []
     for decided, blob in zip(table.column("decided").to_pylist(), table.column("packed").to_pylist(), strict=True):
         i, c, w, n, text = _unpacked(blob)
@@ -229,30 +297,67 @@ def _repeats(table: pa.Table, k: int) -> pa.Table:
             for j in np.sort(order[value == v]).tolist():
                 w = buf[start[word[j]] : end[word[j] + k - 1]].tobytes()
                 hit[j] = ids[owner[j]] > least.setdefault(w, int(ids[owner[j]]))
-        at_hit = np.flatnonzero(hit)
-        if len(at_hit):
+        for chosen in (hit, ~hit) if pass_on else (hit,):
+            at_hit = np.flatnonzero(chosen)
+            if not len(at_hit):
+                continue
             new = np.ones(len(at_hit), bool)
             new[1:] = (np.diff(at_hit) != 1) | (owner[at_hit[1:]] != owner[at_hit[:-1]])
             a, b = at_hit[new], at_hit[np.append(new[1:], True)]
             own = owner[a]
-            ranges.append(np.stack((ids[own], crcs[own], words[own] + at[a], words[own] + at[b] + k)))
-    found = np.concatenate(ranges, axis=1)
-    return pa.table([pa.array(found[0]), pa.array(found[1]), pa.array(found[2], pa.int32()), pa.array(found[3], pa.int32())], names=["doc_id", "crc", "lo", "hi"])
+            if chosen is hit:
+                ranges.append(np.stack((ids[own], crcs[own], words[own] + at[a], words[own] + at[b] + k)))
+            else:
+                first, size = start[word[a]], end[word[b] + k - 1] + 1 - start[word[a]]
+                left = _packed(ids[own], crcs[own], words[own] + at[a], at[b] - at[a] + k, gather(buf, first, size).tobytes())
+    return np.concatenate(ranges, axis=1), left
+
+
+RANGES = "doc_id bigint, crc bigint, lo int, hi int"
+
+
+def _range_arrays(found: np.ndarray) -> list[pa.Array]:
+    return [pa.array(found[0]), pa.array(found[1]), pa.array(found[2], pa.int32()), pa.array(found[3], pa.int32())]
+
+
+def _repeats(table: pa.Table, k: int) -> pa.Table:
+    """Ranges of words (RANGES) of a bucket's windows that a smaller doc_id has."""
+    return pa.table(_range_arrays(_judged(table, k, pass_on=False)[0]), names=["doc_id", "crc", "lo", "hi"])
+
+
+def _repeats_of_part(table: pa.Table, k: int) -> pa.Table:
+    """The same of one group of a bucket. Of a salted one a last row has the bucket and what is passed on."""
+    salted = table.column("salt")[0].as_py() >= 0
+    found, left = _judged(table, k, pass_on=salted)
+    ranges, n = _range_arrays(found), found.shape[1]
+    if left is not None:
+        ranges = [pa.concat_arrays([x, pa.nulls(1, x.type)]) for x in ranges]
+    more = left is not None
+    bucket = pa.array([None] * n + [table.column("bucket")[0].as_py()] * more, pa.int32())
+    return pa.table([*ranges, bucket, pa.array([None] * n + [left] * more, pa.binary())], names=["doc_id", "crc", "lo", "hi", "bucket", "packed"])
 
 
 def repeated_ranges(documents: DataFrame, *, k: int = K) -> DataFrame:
-    """doc_id, crc (of the text), lo, hi: ranges of words, which may overlap, of all windows that a smaller doc_id has."""
+    """doc_id, crc (of the text), lo, hi: ranges of words, which may overlap, of all windows that a smaller doc_id has. A
+    helper table remains."""
     spark = documents.sparkSession
     common.python_workers(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = common.partitions_for(spark, size, BUCKET_BYTES)
-    cut = rows.where("doc_id IS NOT NULL").mapInArrow(partial(_cut, k=k, buckets=buckets), "bucket int, decided boolean, packed binary")
+    rows = rows.where("doc_id IS NOT NULL")
+    hot = hot_minimisers(rows, k, buckets)
+    cut = rows.mapInArrow(partial(_cut, k=k, buckets=buckets, hot=hot), "bucket int, salt int, decided boolean, packed binary")
+
+    def of_part(table: pa.Table) -> pa.Table:
+        return _repeats_of_part(table, k)
 
     def repeats(table: pa.Table) -> pa.Table:
         return _repeats(table, k)
 
-    return cut.groupBy("bucket").applyInArrow(repeats, "doc_id bigint, crc bigint, lo int, hi int")
+    judged = common.written(cut.groupBy("bucket", "salt").applyInArrow(of_part, f"{RANGES}, bucket int, packed binary"), "repeats")
+    left = judged.where("packed IS NOT NULL").select("bucket", F.lit(False).alias("decided"), "packed")
+    return judged.where("packed IS NULL").select("doc_id", "crc", "lo", "hi").unionByName(left.groupBy("bucket").applyInArrow(repeats, RANGES))
 
 
 def _keep(words: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:
@@ -275,12 +380,15 @@ def _removed(batches: Iterator[pa.RecordBatch], *, texts: bool) -> Iterator[pa.R
 
 
 def remove_repeats(documents: DataFrame, *, k: int = K, texts: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text (null unless texts) for every row of documents."""
+    """doc_id, n_words, n_removed, kept_sha256, kept_text (null unless texts) for every row of documents, as a written
+    table."""
+    since = common.made()
     ranges = repeated_ranges(documents, k=k).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     rows = rows.withColumn("crc", F.crc32(F.col("text").cast("binary")))
     met = rows.join(ranges, ["doc_id", "crc"], "left").select("doc_id", "text", F.col("ranges.lo").alias("lo"), F.col("ranges.hi").alias("hi"))
-    return met.mapInArrow(partial(_removed, texts=texts), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    kept = met.mapInArrow(partial(_removed, texts=texts), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return common.finished(kept, "without-repeats", since)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
