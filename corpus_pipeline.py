@@ -16,7 +16,8 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that it predicts toxic go. The model learns from the documents that come in and the labels
     beside them."""
     model = toxicity.learn(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    score = common.unused(docs, "score")
+    return toxicity.score(docs, model, name=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +33,10 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: texts get pseudonyms; n_chars follows where a text changed."""
-    made = pii.pseudonymised(docs)
+    apart = common.set_aside(docs, "n_private", "private_kinds")
     n_chars = F.when(F.col("n_private") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return made.withColumn("n_chars", n_chars).select(*docs.columns)
+    made = pii.pseudonymised(apart).withColumn("n_chars", n_chars)
+    return made.select(*(F.col(f"`{a}`").alias(c) for a, c in zip(apart.columns, docs.columns, strict=True)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's helper tables and its input go once its output is written."""
+    begin = common.made()
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = common.finished(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}", begin)
     return docs
