@@ -15,6 +15,7 @@ from kvlake.session import scratch
 from kvlake.sources import runs
 from kvlake.sources.manifest import EDITS, replayed
 from kvlake.store import Store, StoreConfig
+from kvlake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -309,6 +310,16 @@ def validate_ordering(spark, sf_dir):
     return validate.misordered(tables)
 
 
+@query("validate_all", """WITH t AS (SELECT event_id // 2 AS id, CAST(user_id % 3 AS INTEGER) AS level, event_id * 10 AS min_key, event_id * 10 + CAST(floor(value) AS BIGINT) % 40 - 5 AS max_key FROM events),
+  s AS (SELECT *, max(max_key) OVER (PARTITION BY level ORDER BY min_key, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM t)
+  SELECT 'duplicate id' AS check, id, CAST(count(*) AS VARCHAR) AS detail FROM t GROUP BY id HAVING count(*) > 1 UNION ALL
+  SELECT 'key order', id, CASE WHEN min_key > max_key THEN 'inverted' ELSE 'overlaps' END FROM s WHERE min_key > max_key OR level > 0 AND min_key <= reached UNION ALL
+  SELECT 'next id', id, '400' FROM t WHERE id >= 400""")
+def validate_all(spark, sf_dir):
+    tables = _table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 2).alias("id"), (F.col("user_id") % 3).cast("int").alias("level"), (F.col("event_id") * 10).alias("min_key"), (F.col("event_id") * 10 + F.floor("value") % 40 - 5).alias("max_key"))
+    return validate.all_violations(tables, 400)
+
+
 @query("validate_counts", f"""WITH m AS ({_META}), a AS (SELECT level, count(*) AS n FROM m GROUP BY 1), b AS (SELECT level, count(*) AS n FROM m WHERE id % 4 <> 1 GROUP BY 1)
   SELECT level, coalesce(a.n, 0) AS expected, coalesce(b.n, 0) AS found FROM a FULL JOIN b USING (level) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
 def validate_counts(spark, sf_dir):
@@ -392,6 +403,42 @@ def store_tables(spark, sf_dir):
     return tables.select("id", "level", "entry_count", *(keycode.decode_i64(F.col(c)).alias(c) for c in ("min_key", "max_key")))
 
 
+@query("store_buffer", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN upper(n_name) ELSE n_name END AS n_name FROM nation WHERE n_nationkey % 5 <> 4 ORDER BY n_nationkey")
+def store_buffer(spark, sf_dir):
+    """Single writes, some of them synced, some overwritten or deleted, and read before any flush. A nation is a row."""
+    store = Store(spark, scratch(spark, "store"))
+    rows = _table(spark, sf_dir, "nation").select(keycode.encode_i64(F.col("n_nationkey").cast("bigint")).alias("key"), "n_nationkey", "n_name").collect()
+    for r in rows:
+        store.set(r["key"], r["n_name"].encode())
+    store.sync()
+    for r in rows:
+        if r["n_nationkey"] % 3 == 0:
+            store.set(r["key"], r["n_name"].upper().encode())
+        if r["n_nationkey"] % 5 == 4:
+            store.delete(r["key"])
+    found = store.scan()
+    return found.select(keycode.decode_i64(F.col("key")).cast("int").alias("n_nationkey"), F.col("value").cast("string").alias("n_name")).orderBy("n_nationkey")
+
+
+@query("store_ingest", "SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def store_ingest(spark, sf_dir):
+    """A stream of all events into a store, which is flushed as it fills."""
+    events, path = _table(spark, sf_dir, "events"), scratch(spark, "store")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")  # a stream takes a folder or a pattern
+    rows = stream.select(keycode.encode_i64(F.col("user_id")).alias("key"), F.col("value").cast("string").cast("binary").alias("value"), "event_id")
+    with Store(spark, path) as store:
+        ingest.ingest(rows, store, checkpoint=f"{path}/checkpoint", order="event_id", flush_batches=1).awaitTermination()
+    return _content(Store(spark, path, read_only=True).scan(ordered=False))
+
+
+@query("store_levels", f"SELECT 1 AS level, count(DISTINCT user_id) AS entries, 1 AS tables FROM events WHERE user_id IN ({_NEWEST.format(_BATCHES).replace(', arg_max(value, (event_id % 3, event_id)) AS value', '')})")
+def store_levels(spark, sf_dir):
+    """What is in each level when runs are merged as soon as there are two: keys whose newest mutation isn't a delete."""
+    config = StoreConfig(compaction=compaction.CompactionConfig(level0_threshold=2, max_tables=100))
+    tables = Store(spark, _stored(spark, sf_dir, flush=(0, 1, 2), config=config), read_only=True).tables()
+    return tables.groupBy("level").agg(F.sum("entry_count").alias("entries"), F.count(F.lit(1)).cast("int").alias("tables"))
+
+
 # Time chunks
 
 @query("time_chunk_count", "SELECT time_bucket(INTERVAL '1 hour', ts) AS chunk, count(*) AS n FROM events GROUP BY 1")
