@@ -17,6 +17,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -57,6 +59,13 @@ def _marked(word: bytes, last: bool) -> bytes:
     return out[:-2] + LAST + out[-1:] if last else out
 
 
+def _little(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class ByteEncoder:
     """Encodes texts exactly as the byte-level tokenizer in path does without special tokens."""
 
@@ -125,15 +134,19 @@ class WordEncoder:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _run(self, run: str) -> bytes:
-        found = b""
+        found, known = b"", self.words
         for word in WORDS.findall(run.lower()):
-            ids = self.words.get(word)
+            ids = known.get(word)
             if ids is None:
-                if len(self.words) > self.limit:
-                    self.words.clear()
-                ids = np.asarray(self._word(_marked(word.encode(), True)), "<u4").tobytes()
+                if len(known) > self.limit:
+                    known.clear()
+                if word.isascii():
+                    marked = word.encode("utf-16-be")
+                    ids = _little(self._word(marked[:-2] + LAST + marked[-1:]))
+                else:
+                    ids = _little(self._word(_marked(word.encode(), True)))
                 if len(word) <= LONGEST_UNIT:
-                    self.words[word] = ids
+                    known[word] = ids
             found += ids
         return found
 
@@ -146,8 +159,9 @@ class WordEncoder:
             return b"".join(map(young.__getitem__, units))
         except KeyError:
             absent = set(units).difference(young)
+        old, run = self.old, self._run
         for unit in absent:
-            young[unit] = self.old.get(unit) or self._run(unit)
+            young[unit] = old.get(unit) or run(unit)
         found = b"".join(map(young.__getitem__, units))
         for unit in absent:
             if len(unit) > LONGEST_UNIT:
