@@ -9,7 +9,7 @@ meet their document again as ranges of words.
 Skew: of equal super-k-mers in a chunk of documents only that of the smallest doc_id travels; the windows of the others
 are decided on the spot. A passage in any number of documents therefore reaches its bucket at most once a chunk.
 Minimisers are counted first: each task keeps the frequent ones of its texts (Misra and Gries), and those that hold more
-than HOT_BUCKETS buckets' worth of windows are hot. Windows of a hot minimiser are told apart further, by their second
+than HOT_BUCKETS of a bucket's worth of windows are hot. Windows of a hot minimiser are told apart further, by their second
 least hash, and such a bucket is dealt over SALTS groups, each of which sends on only the windows that it leaves; so
 neither a common run of words nor a passage that is everywhere makes a group large.
 Texts longer than a chunk are cut into segments that share K - 1 words.
@@ -44,9 +44,9 @@ CHUNK_BYTES = 1 << 22
 BUCKET_BYTES = 4 << 20
 #: Of the compression of packed strings.
 LEVEL = 6
-#: Buckets' worth of windows beyond which a minimiser is hot, the least share of all windows that this may be, and groups
+#: Part of a bucket's worth of windows beyond which a minimiser is hot, the least share of all windows that this may be, and groups
 #: over which a bucket of hot minimisers is dealt. There are no more than 2 / HOT_SHARE hot minimisers, 1.6 MB of hashes.
-HOT_BUCKETS, HOT_SHARE, SALTS = 2, 1e-5, 64
+HOT_BUCKETS, HOT_SHARE, SALTS = 0.5, 1e-5, 64
 
 
 def _min_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -218,10 +218,10 @@ def _cut(batches: Iterator[pa.RecordBatch], *, k: int, buckets: int, hot: np.nda
     common.release_memory()
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], *, k: int, most: int) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch], *, k: int, most: int, least: float = 0) -> Iterator[pa.RecordBatch]:
     """minimiser, windows: the number of windows of minimisers in a task's texts, and of all with a null minimiser. No more
     than most are kept: beyond that the next one's number is taken off all, so that what is missing from any number is
-    less than the windows divided by most."""
+    less than the windows divided by most. Those below the share least of the windows aren't sent."""
     values, numbers, total = NO_MINIMISER, np.zeros(0, np.int64), 0
     for segments in _chunks(batches, k):
         c = _Chunk(segments, k, NO_MINIMISER)
@@ -231,15 +231,18 @@ def _frequent(batches: Iterator[pa.RecordBatch], *, k: int, most: int) -> Iterat
         if len(values) > most:
             numbers = numbers - np.partition(numbers, len(numbers) - most - 1)[len(numbers) - most - 1]
             values, numbers = values[numbers > 0], numbers[numbers > 0]
+    sent = numbers >= least * total
+    values, numbers = values[sent], numbers[sent]
     yield pa.RecordBatch.from_arrays([pa.array([*values.view(np.int64).tolist(), None], pa.int64()), pa.array([*numbers.tolist(), total], pa.int64())], names=["minimiser", "windows"])
     common.release_memory()
 
 
 def hot_minimisers(rows: DataFrame, k: int, buckets: int) -> np.ndarray:
-    """Every minimiser with more than HOT_BUCKETS buckets' share of the windows of rows (doc_id, text), and perhaps some
-    with half of that."""
+    """Every minimiser with more than HOT_BUCKETS of a bucket's share of the windows of rows (doc_id, text), and perhaps
+    some with half of that."""
     share = max(HOT_BUCKETS / buckets, HOT_SHARE)
-    counted = rows.mapInArrow(partial(_frequent, k=k, most=int(4 / share) + 1), "minimiser bigint, windows bigint")
+    # Each of the two bounds takes a quarter of the share off a number at most.
+    counted = rows.mapInArrow(partial(_frequent, k=k, most=int(4 / share) + 1, least=share / 4), "minimiser bigint, windows bigint")
     counted = common.written(counted.groupBy("minimiser").agg(F.sum("windows").alias("windows")), "minimisers")
     total = counted.where("minimiser IS NULL").select("windows").first()
     found = counted.where(F.col("minimiser").isNotNull() & (F.col("windows") > (total[0] if total else 0) * share / 2)).collect()
@@ -342,10 +345,10 @@ def repeated_ranges(documents: DataFrame, *, k: int = K) -> DataFrame:
     helper table remains."""
     spark = documents.sparkSession
     common.python_workers(spark)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    columns = F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")
+    size = documents.select(*columns).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = common.partitions_for(spark, size, BUCKET_BYTES)
-    rows = rows.where("doc_id IS NOT NULL")
+    rows = documents.select(*columns).where("doc_id IS NOT NULL")
     hot = hot_minimisers(rows, k, buckets)
     cut = rows.mapInArrow(partial(_cut, k=k, buckets=buckets, hot=hot), "bucket int, salt int, decided boolean, packed binary")
 
