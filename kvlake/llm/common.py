@@ -74,6 +74,18 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
 
 
+#: Bytes of input for each core below which rows are dealt out before they are worked on.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt out over all cores where the input is small for them: a file of one row group is one task otherwise.
+    Larger inputs have splits enough and aren't shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPREAD_BYTES else rows
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -279,8 +279,9 @@ def near_duplicates(documents: DataFrame, *, shingle: int = SHINGLE, percent: in
     which unlike kept holds for one text only of a component with several texts of its least doc_id; a written table."""
     since = common.made()
     common.python_workers(documents.sparkSession)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    sketched = common.written(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(partial(_sketched, shingle=shingle, rows=rows, count=count), "doc_id bigint, text_hash bigint, n_shingles bigint, print binary, bands array<bigint>"), "sketches")
+    columns = F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")
+    texts, dealt = documents.select(*columns), common.spread(documents).select(*columns)
+    sketched = common.written(dealt.withColumn("text_hash", F.xxhash64("text")).mapInArrow(partial(_sketched, shingle=shingle, rows=rows, count=count), "doc_id bigint, text_hash bigint, n_shingles bigint, print binary, bands array<bigint>"), "sketches")
 
     # Classes: documents with the same set. Only one of each is compared.
     in_class = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)

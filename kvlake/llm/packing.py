@@ -162,7 +162,7 @@ def certificate(packed: DataFrame, *, capacity: int = CAPACITY) -> tuple[int, in
 def pieces_of(documents: DataFrame, *, vocabulary: str, kind: str = "word", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of documents (doc_id, text), as a written table."""
     common.python_workers(documents.sparkSession)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).withColumn("row", F.xxhash64("text"))
+    rows = common.spread(documents).select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).withColumn("row", F.xxhash64("text"))
     return common.written(rows.select("doc_id", "row", "text").mapInArrow(partial(_pieces, vocabulary=vocabulary, kind=kind, end_id=end_id, capacity=capacity), PIECE), "pieces")
 
 

@@ -370,7 +370,7 @@ def _treated(m: Column, key: str) -> Column:
 
 def pseudonymised(documents: DataFrame, *, key: str = KEY, text_col: str = "text") -> DataFrame:
     """documents with pseudonyms in text_col and, behind it, n_private (values replaced) and private_kinds (of each)."""
-    documents = common.set_aside(documents, "n_private", "private_kinds")
+    documents = common.spread(common.set_aside(documents, "n_private", "private_kinds"))
     text = F.col(f"`{text_col}`")
     rest = [F.col(f"`{c}`") for c in documents.columns]
     at_pattern, at_found, at_made = (common.unused(documents, c) for c in ("_pattern", "_found", "_made"))

@@ -239,5 +239,5 @@ def model_path() -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes, then decodes what it encoded, in one pass over the texts: ids of a document never leave the worker."""
     common.python_workers(spark)
-    rows = common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = common.spread(common.table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(partial(_digests, model=model_path()), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -64,7 +64,7 @@ def write_tokens(documents: DataFrame, folder: str, *, vocabulary: str, kind: st
     """Writes flat token files to folder (a URI) and returns a written table of file, number (of the document in its
     file, from 0) and doc_id: which documents the files hold, not where."""
     common.python_workers(documents.sparkSession)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = common.spread(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return common.written(rows.mapInArrow(partial(_write, folder=folder, vocabulary=vocabulary, kind=kind, separator=separator, width=width), "file string, number bigint, doc_id bigint"), "token-files")
 
 

@@ -294,7 +294,7 @@ def score(documents: DataFrame, model: Model, *columns: str, name: str = "score"
     """columns of documents (all by default) and the score, as name. A column of that name is renamed, see set_aside."""
     common.python_workers(documents.sparkSession)
     column = common.unused(documents, "_scored")
-    rows = documents.select(*(F.col(f"`{c}`") for c in columns or documents.columns), common.text_of().alias(column))
+    rows = common.spread(documents).select(*(F.col(f"`{c}`") for c in columns or documents.columns), common.text_of().alias(column))
     rows = common.set_aside(rows, name)
     schema = rows.drop(column).schema.add(name, "double")
     return rows.mapInArrow(partial(_scored, model=model, column=column, name=name), schema)

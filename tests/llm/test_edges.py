@@ -54,6 +54,14 @@ def test_a_cluster_needs_a_shared_folder():
         common.shared_dir(session("local[4]"))
 
 
+def test_small_inputs_are_dealt_out(spark, sf_dir, monkeypatch):
+    table = common.table(spark, sf_dir(ODD), "documents").coalesce(1)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan(common.spread(table)) and common.spread(table).count() == len(ODD)
+    monkeypatch.setattr(common, "SPREAD_BYTES", 1)
+    assert "Exchange" not in plan(common.spread(table))
+
+
 # Empty tables and clashing columns
 
 
