@@ -62,21 +62,22 @@ class StoreConfig:
 @dataclass(frozen=True)
 class BatchMeta:
     """Entries and the range of keys of a log batch; without entries there are no keys. entries is None where a writer died
-    before it noted them: then any key can be there."""
+    before it noted them: then any key can be there. repeats: a key may have any number of rows."""
 
     entries: int | None = None
     min_key: bytes | None = None
     max_key: bytes | None = None
+    repeats: bool = True
 
     def to_json(self) -> str:
         keys = {n: k.hex() if k is not None else None for n, k in (("min_key", self.min_key), ("max_key", self.max_key))}
-        return json.dumps({"format": FORMAT, "entries": self.entries} | keys)
+        return json.dumps({"format": FORMAT, "entries": self.entries, "repeats": self.repeats} | keys)
 
     @classmethod
     def from_json(cls, text: str) -> BatchMeta:
         d = json.loads(text)
         check_format(d)
-        return cls(d["entries"], *(bytes.fromhex(d[n]) if d[n] is not None else None for n in ("min_key", "max_key")))
+        return cls(d["entries"], *(bytes.fromhex(d[n]) if d[n] is not None else None for n in ("min_key", "max_key")), d.get("repeats", True))
 
     def meets(self, within: KeyRange) -> bool:
         return self.entries is None or self.entries > 0 and within.meets(self.min_key, self.max_key)
@@ -173,10 +174,10 @@ class Store:
         self._check()
         if self._buffer:
             rows = self.spark.createDataFrame([(k, v, i, d) for i, (k, v, d) in enumerate(self._buffer)], "key binary, value binary, place bigint, is_delete boolean")
-            self._append(rows)
+            self._append(rows, repeats=False)  # no more than the buffer holds
             self._buffer, self._buffered = [], 0
 
-    def _append(self, rows: DataFrame) -> int:
+    def _append(self, rows: DataFrame, *, repeats: bool) -> int:
         """Writes rows of key, value, place, is_delete as the next log batch. Rows that can't be stored are counted as they
         are written; with any, the batch goes again."""
         batch = self._next_batch
@@ -187,7 +188,7 @@ class Store:
         if seen["bad"]:
             self.files.delete(path)
             raise InvalidInputError("keys, values and the order of writing must be given")
-        meta = BatchMeta(seen["entries"], *(bytes(seen[n]) if seen[n] is not None else None for n in ("min_key", "max_key")))
+        meta = BatchMeta(seen["entries"], *(bytes(seen[n]) if seen[n] is not None else None for n in ("min_key", "max_key")), repeats)
         self.files.put_if_absent(f"{path}/_batch.json", meta.to_json())
         self._next_batch += 1
         self._batches.append(batch)
@@ -205,7 +206,7 @@ class Store:
         is_delete = F.col("is_delete") if "is_delete" in rows.columns else F.lit(False)
         place = F.col(order).cast("bigint") if order else F.lit(0).cast("bigint")
         taken = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), place.alias("place"), is_delete.alias("is_delete"))
-        batch = self._append(taken)
+        batch = self._append(taken, repeats=order is not None)
         if not lww.duplicate_seqs(read_paths(self.spark, [self._batch(batch)]), ["key"]).isEmpty():
             del self._metas[self._batches.pop()]
             self.files.delete(self._batch(batch))
@@ -254,16 +255,17 @@ class Store:
 
     def flush(self) -> bool:
         """Log batches to one run of level 0; False if there are none. The run counts from the commit on, and the
-        batches go behind it."""
+        batches go behind it. Batches of distinct keys are shuffled once, by ranges; of others hot keys are combined first."""
         self._check()
         with self._only("flush"):
             self.sync()
             batches = list(self._batches)
             if not batches:
                 return False
-            merged = compaction.merge(read_paths(self.spark, [self._batch(b) for b in batches], verify=self.config.verify), drop_deletes=False)
+            ranged = not any(self._metas[b].repeats for b in batches)
+            merged = compaction.merge(read_paths(self.spark, [self._batch(b) for b in batches], verify=self.config.verify), drop_deletes=False, ranged=ranged)
             table_id = self._new_table()
-            meta = write_run(merged, self._table(table_id), table_id, 0, run_format=self.config.run_format)
+            meta = write_run(merged, self._table(table_id), table_id, 0, run_format=self.config.run_format, ranged=ranged)
             self.state = self.manifest.commit(Edit("flush", wal_ids=batches, added=[meta] if meta else []), self.state)
             self._batches = [b for b in self._batches if b not in batches]
             for b in batches:

@@ -287,3 +287,17 @@ def test_blocks_of_a_range(spark, within):
     begin = 0 if within.start is None else max(0, sum(f <= within.start for f in first) - 1)
     end = 3 if within.end is None else sum(f <= within.end if within.end_included else f < within.end for f in first)
     assert sorted(r.block for r in blocks_in(index, within).collect()) == list(range(begin, end))
+
+
+@pytest.mark.parametrize("order,ranged", [(None, True), ("n", False)])
+def test_flushes_of_distinct_keys_shuffle_once(spark, tmp_path, monkeypatch, order, ranged):
+    from kvlake.operators import compaction
+
+    seen, merge = [], compaction.merge
+    monkeypatch.setattr(compaction, "merge", lambda rows, **how: seen.append(how["ranged"]) or merge(rows, **how))
+    with Store(spark, f"{tmp_path}/s") as s:
+        s.write(keyed(spark, 0, 300).selectExpr("*", "1 AS n"), order=order)
+    with Store(spark, f"{tmp_path}/s") as s:
+        s.set(b"key_00005", b"newer")
+        assert s.flush() and seen == [ranged] and s.scan().count() == 300 and s.get(b"key_00005") == b"newer"
+        assert [k for k, _ in content(s.scan())] == sorted(f"key_{i:05}".encode() for i in range(300))
