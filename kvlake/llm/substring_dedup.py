@@ -347,7 +347,8 @@ def repeated_ranges(documents: DataFrame, *, k: int = K) -> DataFrame:
     common.python_workers(spark)
     columns = F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")
     size = documents.select(*columns).agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = common.partitions_for(spark, size, BUCKET_BYTES)
+    # Twice as many as partitions: several in each even out.
+    buckets = max(common.partitions_for(spark, size, BUCKET_BYTES), 2 * common.partitions_for(spark, 0, 1))
     rows = common.spread(documents).select(*columns).where("doc_id IS NOT NULL")
     hot = hot_minimisers(rows, k, buckets)
     cut = rows.mapInArrow(partial(_cut, k=k, buckets=buckets, hot=hot), "bucket int, salt int, decided boolean, packed binary")

@@ -546,3 +546,28 @@ def test_registered_sql(spark, name):
     expected = duck.sql(queries.oracle_sql()[name])
     found = queries.queries()[name](spark, sf).select(*expected.columns).collect()
     assert sorted(map(tuple, found)) == sorted(expected.fetchall())
+
+
+# Pipeline
+
+
+def test_pipeline_packs_what_is_left(spark, sf_dir):
+    """The last stage's pieces are the library's ids of the texts before it, in sequences without gaps."""
+    rows, labels = toxic_corpus(150)
+    path = sf_dir(rows + [(1000 + i, t) for i, t in varied(9, 60, 2)] + [(2000, "long " * 5000), (2001, None), (2002, "Mail ana.68@mail7.example.com")], labels)
+    docs = common.table(spark, path, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.written(stage(spark, docs, path), "test-stage")
+    encode, expected = ids_of(bpe.word_vocabulary()), []
+    for r in docs.collect():
+        ids = encode(r.text)
+        expected += [(r.doc_id, n, at, len(ids[at : at + 2048]), crc(ids[at : at + 2048])) for n, at in enumerate(range(0, len(ids), 2048))]
+    found = corpus_pipeline.run(spark, path)
+    rows = found.collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(expected)
+    places = {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == places.get(r.sequence_id, 0)
+        places[r.sequence_id] = r.offset + r.length
+    used, bound = packing.certificate(found)
+    assert max(places.values()) <= 2048 and bound <= used == len(places) <= 1.05 * bound + 1
