@@ -182,12 +182,13 @@ def _telling(texts: list[bytes], y: np.ndarray) -> np.ndarray:
     seen, last = np.zeros((2, FEATURES), np.int32), np.zeros(0, np.int64)
     for s, _ in chunks(texts):
         owner = np.repeat(s.text, np.diff(np.append(s.begin, len(s.features))))
-        pairs = np.unique(s.features.astype(np.int64) + FEATURES * owner[:, None])
+        pairs = np.sort((s.features + FEATURES * owner[:, None]).ravel())  # much faster than hashing them
+        pairs = pairs[np.diff(pairs, prepend=-1) != 0]
         if len(last) and len(pairs) and last[-1] // FEATURES == s.text[0]:  # another part of a long text
             pairs, last = np.setdiff1d(pairs, last, assume_unique=True), np.union1d(last, pairs)
         elif len(pairs):
             last = pairs
-        np.add.at(seen, (y[pairs // FEATURES].astype(int), pairs % FEATURES), 1)
+        seen += np.bincount(y[pairs // FEATURES].astype(np.int64) * FEATURES + pairs % FEATURES, minlength=2 * FEATURES).reshape(2, FEATURES)
     n, often = np.asarray([(1 - y).sum(), y.sum()]), np.flatnonzero(seen.sum(axis=0) >= LEAST_DOCUMENTS)
     seen = seen[:, often]
     share = seen.sum(axis=0) / n.sum()
