@@ -75,7 +75,7 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
 
 
 #: Bytes of input for each core below which rows are dealt out before they are worked on.
-SPREAD_BYTES = 8 << 20
+SPREAD_BYTES = 4 << 20
 
 
 def spread(rows: DataFrame) -> DataFrame:
