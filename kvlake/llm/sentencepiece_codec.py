@@ -99,13 +99,13 @@ class PieceCodec:
         return self.merged(right) == [right] if a < 0 else self.merged(self.piece[a] + right) == [self.piece[a], right]
 
     def encode_unit(self, text: str) -> list[int]:
-        n, pairs = len(text), self.pairs
+        n, pairs, tokens = len(text), self.pairs, len(self.bytes_of)
         last, length = [-1] * (n + 1), [1] * (n + 1)  # -1: the beginning, or a character outside the vocabulary
         for end, (token, size) in self.matches(text):
             end += 1
             if last[end] >= 0:
                 continue
-            key = (last[end - size] + 1) << 32 | token
+            key = (last[end - size] + 1) * tokens + token
             fits = pairs.get(key)
             if fits is None:
                 if len(pairs) > CACHE_PAIRS:
@@ -125,20 +125,19 @@ class PieceCodec:
     def encode(self, text: str, *, end: bool = False) -> np.ndarray:
         """The ids of text, with the end id if asked for."""
         units = self.split(SPACE + text.replace(" ", SPACE)) if text else []
+        young, old = self.young, self.old
         try:
-            packed = b"".join(map(self.young.__getitem__, units))
+            packed = b"".join(map(young.__getitem__, units))
         except KeyError:
-            ids = {}
-            for unit in set(units):
-                found = self.young.get(unit) or self.old.get(unit)
-                if found is None:
-                    found = np.asarray(self.encode_unit(unit), dtype="<u4").tobytes()
-                ids[unit] = found
-                if len(unit) <= LONGEST_UNIT:
-                    self.young[unit] = found
-            if len(self.young) > self.limit:
-                self.old, self.young = self.young, {}
-            packed = b"".join(map(ids.__getitem__, units))
+            absent = set(units).difference(young)
+            for unit in absent:
+                young[unit] = old.get(unit) or np.asarray(self.encode_unit(unit), dtype="<u4").tobytes()
+            packed = b"".join(map(young.__getitem__, units))
+            for unit in absent:
+                if len(unit) > LONGEST_UNIT:
+                    del young[unit]
+            if len(young) > self.limit:
+                self.old, self.young = young, {}
         if end:
             packed += np.asarray([self.end_id], dtype="<u4").tobytes()
         return np.frombuffer(packed, dtype="<u4")
