@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvlake.functions import format as fmt
-from kvlake.functions import keycode
+from kvlake.functions import checksums, keycode
 from kvlake.functions.ranges import KeyRange, text_prefix_range
 from kvlake.operators import chunks, compaction, lww, scan, status, validate
 from kvlake.session import scratch
@@ -215,6 +215,14 @@ def keycode_roundtrip_long(spark, sf_dir):
     return found.select("doc_id", "s", F.octet_length("s").cast("bigint").alias("n"), F.sha2("pair._1", 256).alias("b_sha256"), F.col("pair._2").alias("i"))
 
 
+@query("checksum_continued", "SELECT c_custkey, TRUE AS crc32c, TRUE AS crc64 FROM customer")
+def checksum_continued(spark, sf_dir):
+    """Whether checksums of two values one after the other are those of both together."""
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    same = lambda f: f(segment, f(name)) == f(F.concat(name, segment))
+    return _table(spark, sf_dir, "customer").select("c_custkey", same(checksums.crc32c).alias("crc32c"), same(checksums.crc64).alias("crc64"))
+
+
 @query("format_kv", """SELECT c_custkey, '"' || c_name || '" → "' || c_mktsegment || '"' AS shown FROM customer""")
 def format_kv(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", fmt.key_value(F.encode("c_name", "UTF-8"), F.encode("c_mktsegment", "UTF-8")).alias("shown"))

@@ -118,3 +118,28 @@ def test_doubles_go_as_arrays(spark):
         bits = int.from_bytes(struct.pack(">d", r.v), "big")
         assert r.back == r.v or math.isnan(r.v) and math.isnan(r.back)
         assert math.isnan(r.v) or int.from_bytes(r.e, "big") == bits ^ (2**64 - 1 if bits >> 63 else 2**63)
+
+
+def test_checksums(spark):
+    import random
+
+    from kvlake.functions import checksums as C
+
+    def bitwise(data, bits):
+        state = 2**bits - 1
+        for byte in data:
+            state ^= byte
+            for _ in range(8):
+                state = state >> 1 ^ (C.POLYNOMIALS[bits] if state & 1 else 0)
+        return state ^ 2**bits - 1
+
+    rnd = random.Random(4)
+    values = [b"123456789", b"", b"hello world", *(rnd.randbytes(rnd.randrange(200)) for _ in range(200)), rnd.randbytes(20_000)]
+    rows = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(values)] + [(999, None)], "i int, v binary")
+    half = F.floor(F.length("v") / 2).cast("int")
+    halves = F.substring("v", F.lit(1), half), F.substring("v", half + 1, F.length("v"))
+    made = rows.select("i", *(c.alias(n) for n, f in (("a", C.crc32c), ("b", C.crc64)) for c, n in ((f(F.col("v")), n), (f(halves[1], f(halves[0])), n + "2")))).orderBy("i").collect()
+    assert made[-1].a is None and made[-1].b is None
+    assert made[0].a == 0xE3069283 and made[0].b % 2**64 == 0x995DC9BBDF1939FA  # fixed values: of the digits 1 to 9
+    for v, r in zip(values, made, strict=False):
+        assert (r.a, r.b % 2**64) == (bitwise(v, 32), bitwise(v, 64)) and (r.a2, r.b2) == (r.a, r.b)
