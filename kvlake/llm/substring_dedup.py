@@ -10,8 +10,8 @@ Skew: of equal super-k-mers in a chunk of documents only that of the smallest do
 are decided on the spot. A passage in any number of documents therefore reaches its bucket at most once a chunk.
 Minimisers are counted first: each task keeps the frequent ones of its texts (Misra and Gries), and those that hold more
 than HOT_BUCKETS of a bucket's worth of windows are hot. Windows of a hot minimiser are told apart further, by their second
-least hash, and such a bucket is dealt over SALTS groups, each of which sends on only the windows that it leaves; so
-neither a common run of words nor a passage that is everywhere makes a group large.
+least hash, and such a bucket is dealt over salted groups, as many as the root of the number of chunks, each of which sends
+on only the windows that it leaves; so neither a common run of words nor a passage that is everywhere makes a group large.
 Texts longer than a chunk are cut into segments that share K - 1 words.
 
 Defined cases: null and empty texts have no words; documents with fewer than K words lose nothing; rows with a null
@@ -23,6 +23,7 @@ their names, take no part.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -44,9 +45,9 @@ CHUNK_BYTES = 1 << 22
 BUCKET_BYTES = 4 << 20
 #: Of the compression of packed strings.
 LEVEL = 6
-#: Part of a bucket's worth of windows beyond which a minimiser is hot, the least share of all windows that this may be, and groups
-#: over which a bucket of hot minimisers is dealt. There are no more than 2 / HOT_SHARE hot minimisers, 1.6 MB of hashes.
-HOT_BUCKETS, HOT_SHARE, SALTS = 0.5, 1e-5, 64
+#: Part of a bucket's worth of windows beyond which a minimiser is hot, and the least share of all windows that this may be:
+#: there are no more than 2 / HOT_SHARE hot minimisers, 1.6 MB of hashes.
+HOT_BUCKETS, HOT_SHARE = 0.5, 1e-5
 
 
 def _min_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -206,13 +207,13 @@ def _chunks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[in
         yield held
 
 
-def _cut(batches: Iterator[pa.RecordBatch], *, k: int, buckets: int, hot: np.ndarray = NO_MINIMISER) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], *, k: int, buckets: int, hot: np.ndarray = NO_MINIMISER, salts: int = 1) -> Iterator[pa.RecordBatch]:
     """bucket, salt (below 0 where no minimiser is hot), decided, packed."""
     task = TaskContext.get()
     part = task.partitionId() if task else 0
     for number, segments in enumerate(_chunks(batches, k)):
         rows = _super_k_mers(segments, k, buckets, hot)
-        salt = (part + number) % SALTS
+        salt = (part + number) % salts
         columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([salt if r[3] else -1 for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "salt", "decided", "packed"])
     common.release_memory()
@@ -350,8 +351,8 @@ def repeated_ranges(documents: DataFrame, *, k: int = K) -> DataFrame:
     # Twice as many as partitions: several in each even out.
     buckets = max(common.partitions_for(spark, size, BUCKET_BYTES), 2 * common.partitions_for(spark, 0, 1))
     rows = common.spread(documents).select(*columns).where("doc_id IS NOT NULL")
-    hot = hot_minimisers(rows, k, buckets)
-    cut = rows.mapInArrow(partial(_cut, k=k, buckets=buckets, hot=hot), "bucket int, salt int, decided boolean, packed binary")
+    hot, salts = hot_minimisers(rows, k, buckets), 1 + math.isqrt(common.partitions_for(spark, size, CHUNK_BYTES))
+    cut = rows.mapInArrow(partial(_cut, k=k, buckets=buckets, hot=hot, salts=salts), "bucket int, salt int, decided boolean, packed binary")
 
     def of_part(table: pa.Table) -> pa.Table:
         return _repeats_of_part(table, k)
