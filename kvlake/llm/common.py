@@ -1,4 +1,4 @@
-"""What the operators of this package share: the shared folder, written intermediate tables, block numbers."""
+"""What the operators of this package share: written intermediate tables, salted joins, columns' names, Python workers."""
 
 from __future__ import annotations
 
@@ -13,10 +13,6 @@ from kvlake.session import find_package, scratch, shared_dir
 
 __all__ = ["scratch", "shared_dir"]
 
-#: The word pattern of the contracts: runs of anything but blank, tab, LF, VT, FF and CR.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-
-
 #: Written tables of this process that haven't been deleted.
 _made: list[str] = []
 
