@@ -246,9 +246,9 @@ def hot_minimisers(rows: DataFrame, k: int, buckets: int) -> np.ndarray:
     counted = rows.mapInArrow(partial(_frequent, k=k, most=int(4 / share) + 1, least=share / 4), "minimiser bigint, windows bigint")
     counted = common.written(counted.groupBy("minimiser").agg(F.sum("windows").alias("windows")), "minimisers")
     total = counted.where("minimiser IS NULL").select("windows").first()
-    found = counted.where(F.col("minimiser").isNotNull() & (F.col("windows") > (total[0] if total else 0) * share / 2)).collect()
+    found = counted.where(F.col("minimiser").isNotNull() & (F.col("windows") > (total[0] if total else 0) * share / 2)).select("minimiser").toArrow()
     common.discard(counted)
-    return np.asarray([r["minimiser"] for r in found], np.int64).view(np.uint64)
+    return found.column("minimiser").to_numpy().astype(np.int64).view(np.uint64)
 
 
 def _word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
