@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +108,18 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def releasing(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """work, a generator over a task's batches, with release_memory() once it has ended: at the end of work itself its last
+    batch and texts are still there, and what lies between them isn't given back."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch], **parameters: object) -> Iterator[pa.RecordBatch]:
+        yield from work(batches, **parameters)
+        release_memory()
+
+    return run
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores in front of it until df has no such column in any case."""
     taken = {c.lower() for c in df.columns}

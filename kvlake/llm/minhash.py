@@ -27,6 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,37 +108,36 @@ def _fingerprints(texts: list[bytes], shingle: int, rows: int, count: int) -> tu
     return sizes, prints, bands(sketches(sizes, values, rows * count), rows)
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK_BYTES."""
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows of about CHUNK_BYTES, and their texts: those of the whole batch aren't made at once."""
+    column = batch.column("text").cast(pa.large_binary())
     at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK_BYTES:
-            yield at, i
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
+        if size and size + n > CHUNK_BYTES:
+            yield at, i, column.slice(at, i - at).to_pylist()
             at, size = i, 0
-        size += len(t) + 1
-    if at < len(texts):
-        yield at, len(texts)
+        size += n + 1
+    if at < len(column):
+        yield at, len(column), column.slice(at).to_pylist()
 
 
+@common.releasing
 def _sketched(batches: Iterator[pa.RecordBatch], *, shingle: int, rows: int, count: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.encode() for t in batch.column("text").to_pylist()]
-        for a, b in _chunks(texts):
-            sizes, prints, keys = _fingerprints(texts[a:b], shingle, rows, count)
+        for a, b, texts in _chunks(batch):
+            sizes, prints, keys = _fingerprints(texts, shingle, rows, count)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), count).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), keys], names=["doc_id", "text_hash", "n_shingles", "print", "bands"])
-    common.release_memory()
 
 
+@common.releasing
 def _sets(batches: Iterator[pa.RecordBatch], *, shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.encode() for t in batch.column("text").to_pylist()]
-        for a, b in _chunks(texts):
-            sizes, values = shingle_sets(texts[a:b], shingle)
+        for a, b, texts in _chunks(batch):
+            sizes, values = shingle_sets(texts, shingle)
             parts = [x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])]
             prints = [hashlib.blake2b(p, digest_size=16).digest() for p in parts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(prints, pa.binary()), pa.array(parts, pa.binary())], names=["doc_id", "print", "set"])
-    common.release_memory()
 
 
 def _node(doc_id: str, fingerprint: str) -> Column:

@@ -268,6 +268,7 @@ def learn(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> M
     return model
 
 
+@common.releasing
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model's state, from the rows of a partition in their order."""
     texts, labels = [], []
@@ -279,16 +280,15 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     state = train(texts, labels).__getstate__()
     del texts
     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(state, (pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["at", "weights", "bias"])
-    common.release_memory()
 
 
+@common.releasing
 def _scored(batches: Iterator[pa.RecordBatch], *, model: Model, column: str, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.lower().encode() for t in batch.column(column).to_pylist()]
+        texts = [t.as_py().lower().encode() for t in batch.column(column)]  # one by one: no second copy of them all
         score = pa.array(-np.expm1(-model.surprise(texts)))
         names = [n for n in batch.schema.names if n != column]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), score], names=[*names, name])
-    common.release_memory()
 
 
 def score(documents: DataFrame, model: Model, *columns: str, name: str = "score") -> DataFrame:

@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+from functools import partial
 from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -550,6 +552,19 @@ def test_registered_sql(spark, name):
 # Pipeline
 
 
+@pytest.mark.parametrize("work", [partial(minhash._sketched, shingle=5, rows=4, count=40), partial(minhash._sets, shingle=5), partial(toxicity._scored, model=toxicity.train([], []), column="text", name="score")])
+def test_workers_give_back_their_last_batch(monkeypatch, work):
+    """When a task gives its memory back, the 4 MB it had last are gone."""
+    left, before = [], pa.total_allocated_bytes()
+    monkeypatch.setattr(common, "release_memory", lambda: left.append(pa.total_allocated_bytes() - before))
+
+    def batches():
+        yield pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text_hash": [1, 2, 3, 4], "text": ["word " * 200_000] * 4})
+
+    assert sum(len(b) for b in work(batches())) == 4
+    assert len(left) == 1 and left[0] < 1 << 20
+
+
 def test_pipeline_packs_what_is_left(spark, sf_dir):
     """The last stage's pieces are the library's ids of the texts before it, in sequences without gaps."""
     rows, labels = toxic_corpus(150)
